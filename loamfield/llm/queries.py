@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_jaccard
+from . import exact_dedup, ngram_jaccard, packing, substring_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,29 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by passages of fifty words that start in an earlier document too."""
+    every, changed = substring_dedup.repeated_passages(documents(spark, sf_dir), 50)
+    changed = changed.select("doc_id", "mark", F.col("n_removed").alias("_gone"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("_digest"))
+    return every.join(changed, ["doc_id", "mark"], "left").select(
+        "doc_id", "n_words", F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_digest", "digest").alias("kept_sha256")
+    )
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in training sequences of 4096 tokens."""
+    return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), 2)
+
+
 @_query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles agree by 0.8 or more."""
