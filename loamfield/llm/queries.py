@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_jaccard, packing, substring_dedup
+from . import exact_dedup, ngram_jaccard, packing, quality, substring_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by votes of labelled neighbours."""
+    docs = documents(spark, sf_dir)
+    voters = quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, voters).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @_query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by passages of fifty words that start in an earlier document too."""
