@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import MOST_SENT, written
 
 
 def unchanged(text: Column) -> Column:
@@ -47,3 +47,25 @@ def duplicates(docs: DataFrame, normalise=unchanged, keep: str = "min", salts: i
         runs.join(salted, ["text_sha256", "salt"])
         .select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
+
+
+def without_duplicates(docs: DataFrame, normalise=unchanged, keep: str = "min", salts: int = 256) -> DataFrame:
+    """One row of each group of equal texts, in the columns of ``docs``; see :func:`duplicates`.
+
+    Of rows that repeat both the doc_id and the text that stay, one stays.
+    """
+    found = written(duplicates(docs, normalise, keep, salts), "duplicates")
+    digest = F.sha2(F.encode(normalise(F.coalesce("text", F.lit(""))), "UTF-8"), 256)
+    gone = written(found.where("NOT kept").select("doc_id", "text_sha256").distinct(), "gone")
+    again = written(found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"), "again")
+
+    def of(table: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        right = table.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+        right = F.broadcast(right) if table.count() <= MOST_SENT // 8 else right
+        return rows.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), how)
+
+    left = of(gone, "left_anti", docs)
+    if again.isEmpty():
+        return left
+    one = of(again, "left_semi", left).withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return of(again, "left_anti", left).unionByName(one)

@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U64, mix, pieces, shingle_sets
-from .shared import written
+from .shared import chosen, written
 
 #: Counters of the sketch and the count from which a token is called frequent.
 SKETCH_BITS, FREQUENT = 22, 256
 #: Sets of at least so many tokens are indexed under single tokens only.
 SHORT = 64
-#: Ids of candidates are sent to all executors up to this many (8 bytes each), else joined by a shuffle.
-MOST_SENT = 1_000_000
 _SLICE = 1 << 16
 
 
@@ -162,8 +160,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     """The links among distinct candidate pairs (a, b), checked on the whole sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     ids = written(ids, "candidates")
-    sent = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    sets = written(texts.join(sent, "doc_id", "left_semi").mapInArrow(functools.partial(_sets, n=n), "id long, tokens binary"), "sets")
+    sets = written(chosen(texts, ids).mapInArrow(functools.partial(_sets, n=n), "id long, tokens binary"), "sets")
     x, y = (sets.select(F.col("id").alias(k), F.col("tokens").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(functools.partial(_similar, percent=percent), "a long, b long")
 
@@ -223,3 +220,10 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
     more = _verified(rest, texts, n, percent)
     final = components(written(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(members), "links"))
     return index.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id; rows without doc_id stay."""
+    found = similarity_components(docs, n, percent)
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return chosen(docs, gone, "left_anti")

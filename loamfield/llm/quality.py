@@ -154,3 +154,14 @@ def scored(docs: DataFrame, voters: Voters) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(voters)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     return rows.mapInArrow(functools.partial(_scored, voters=sent), rows.select("doc_id", "mark").schema.add("score", "double"))
+
+
+def _accepted(batches, voters: Broadcast, least: float):
+    for batch in batches:
+        for part in pieces(batch, "text", 1 << 19):
+            yield part.filter(pa.array(voters.value.scores(features(part.column("text"))) >= least))
+
+
+def accepted(docs: DataFrame, voters: Voters, least: float) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, in one scan."""
+    return docs.mapInArrow(functools.partial(_accepted, voters=docs.sparkSession.sparkContext.broadcast(voters), least=least), docs.schema)

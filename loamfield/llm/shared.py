@@ -34,3 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Ids are sent to all executors up to this many (8 bytes each), else joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
+def chosen(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows with one of the doc_ids of ``ids`` (a written table of one column), or with none of them by ``left_anti``."""
+    from pyspark.sql import functions as F
+
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", how)

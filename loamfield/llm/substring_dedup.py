@@ -22,15 +22,13 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .hashing import U64, byte_view, gram_hashes, inverse, mix, pieces, powers, word_hashes
-from .shared import written
+from .shared import chosen, written
 
 ANCHOR = 20
 #: Windows of one piece at most; a longer run of windows with one anchor is several pieces.
 RUN = 64
 #: Words after which a shard's task builds an index of what it has read; no anchor is divided.
 INDEX_WORDS = 1 << 20
-#: Ids of documents are sent to all executors up to this many (8 bytes each), else joined by a shuffle.
-MOST_SENT = 1_000_000
 _SPAN = 0xD6E8FEB86659FD93
 
 
@@ -158,11 +156,6 @@ def _removed(batches, window: int):
             yield pa.record_batch({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "n_words": pa.array([len((t or "").encode().split()) for t in texts], pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.string())})
 
 
-def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with one of these doc_ids (a written table)."""
-    return texts.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi")
-
-
 def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     """Two tables of ``docs`` (doc_id, text, anything else).
 
@@ -192,7 +185,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     members = written(each.join(shared, "anchor", "left_semi"), "members")
     owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "runs")).alias("o")).select("o.doc_id", F.struct("anchor", "piece", "o.start", "o.runs").alias("p"))
     owned = written(owners.groupBy("doc_id").agg(F.collect_list("p").alias("owned")), "owned")
-    own = _of(texts, owned.select("doc_id")).join(owned, "doc_id")
+    own = chosen(texts, owned.select("doc_id")).join(owned, "doc_id")
     contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary")
     found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
     hits = (
@@ -202,7 +195,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
         .select("doc_id", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("hit"))
     )
     hits = written(hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits")), "hits")
-    changed = _of(texts, hits.select("doc_id")).join(hits, "doc_id").select("doc_id", "mark", "text", "hits")
+    changed = chosen(texts, hits.select("doc_id")).join(hits, "doc_id").select("doc_id", "mark", "text", "hits")
     changed = changed.mapInArrow(functools.partial(_removed, window=window), "doc_id long, mark long, n_words long, n_removed long, kept string")
     return scanned.select("doc_id", "mark", "n_words", "digest"), changed.dropDuplicates(["doc_id", "mark"])
 
