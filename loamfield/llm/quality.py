@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import U64, byte_view, mix, pieces, word_hashes
 
@@ -153,7 +154,7 @@ def scored(docs: DataFrame, voters: Voters) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(voters)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(functools.partial(_scored, voters=sent), rows.select("doc_id", "mark").schema.add("score", "double"))
+    return rows.mapInArrow(functools.partial(_scored, voters=sent), T.StructType([rows.schema["doc_id"], rows.schema["mark"], T.StructField("score", T.DoubleType())]))
 
 
 def _accepted(batches, voters: Broadcast, least: float):
