@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, media, ngram_jaccard, packing, piece_codec, quality, substring_dedup, url_filter
+from . import chat_format, exact_dedup, license_scan, media, ngram_jaccard, packing, piece_codec, quality, substring_dedup, url_filter
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL["op3_url_filter"] = url_filter.judged_sql(_URL_RULES)
 
 
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every text."""
+    return license_scan.scanned(documents(spark, sf_dir))
+
+
+_SQL["op4_license_scan"] = license_scan.scanned_sql()
+
+
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by votes of labelled neighbours."""

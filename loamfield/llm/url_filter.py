@@ -80,10 +80,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _sum(weights: Column, part: str, text: Column, n: int) -> Column:
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    digest = lambda i: F.substring(F.md5(F.concat(F.lit(part), F.substr(text, i, F.lit(n))).cast("binary")), 1, 3)
-    return F.aggregate(places, F.lit(0).cast("long"), lambda total, i: total + F.element_at(weights, F.conv(digest(i), 16, 10).cast("int") + 1))
+def _sum(weights: Column, part: str, value: Column, n: int) -> Column:
+    def over(text: Column) -> Column:
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        digest = lambda i: F.substring(F.md5(F.concat(F.lit(part), F.substr(text, i, F.lit(n))).cast("binary")), 1, 3)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda total, i: total + F.element_at(weights, F.conv(digest(i), 16, 10).cast("int") + 1))
+
+    # As a lambda's argument the text is computed once, not for every gram.
+    return F.element_at(F.transform(F.array(value), over), 1)
 
 
 def logit(host: Column, path: Column) -> Column:
