@@ -37,20 +37,25 @@ class PieceCodec:
         n = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
         self.ids = {model.id_to_piece(i): i for i in range(n) if not special[i]}
+        self.codes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown = model.unk_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids) or model.normalize("A  ﬁ\n") != "▁A▁▁ﬁ\n":
             raise ValueError("words of this model can't be encoded one by one")
-        #: What may stand at the end of a piece: a longer candidate is looked for only while this holds.
-        self.tails = {p[i:] for p in self.ids for i in range(len(p) - 1)}
-        self.surface = [b""] * n
+        #: What may end a piece; of a piece itself, the pieces known to agree or not with it on their right.
+        self.tails: dict[str, dict[str, bool] | bool] = {p[i:]: False for p in self.ids for i in range(len(p) - 1)}
+        self.tails |= {p: {} for p in self.ids if len(p) > 1}
+        self.known = 0
+        surface = [b""] * n
         for p, i in self.ids.items():
-            self.surface[i] = p.replace(MARK, " ").encode()
+            surface[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
-            self.surface[i] = bytes([b])
+            surface[i] = bytes([b])
+        self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.size = np.array([len(x) for x in surface], np.int64)
+        self.place = np.cumsum(self.size) - self.size
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.agree: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -67,20 +72,22 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _agree(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.agree.get(key)
-        if ok is None:
-            if len(self.agree) > 4 * CACHED:
-                self.agree.clear()
-            ok = self.agree[key] = self.merged(a + b) == ([a, b] if a else [b])
+    def _agree(self, left: str, piece: str) -> bool:
+        """Whether ``piece`` may follow ``left``, or begin a word if that is empty; kept beside the piece."""
+        if self.known > CACHED:
+            for v in self.tails.values():
+                if v:
+                    v.clear()
+            self.known = 0
+        self.known += 1
+        ok = self.tails[piece][left] = self.merged(left + piece) == ([left, piece] if left else [piece])
         return ok
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Pieces of each of the sorted distinct words, from one stack of forward states."""
         last: list[str] = [""]
         before = ""
-        score, tails, agree, check = self.score, self.tails, self.agree, self._agree
+        tail, check = self.tails.get, self._agree
         for word in words:
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
@@ -89,16 +96,15 @@ class PieceCodec:
             for end in range(same + 1, len(word) + 1):
                 state = word[end - 1]
                 for start in range(end - 2, -1, -1):
-                    piece = word[start:end]
-                    if piece not in tails:
+                    known = tail(word[start:end])
+                    if known is None:
                         break
-                    if piece in score:
-                        key = (last[start], piece)
-                        ok = agree.get(key)
+                    if known is not False:
+                        ok = known.get(last[start])
                         if ok is None:
-                            ok = check(*key)
+                            ok = check(last[start], word[start:end])
                         if ok:
-                            state = piece
+                            state = word[start:end]
                             break
                 last.append(state)
             out, end = [], len(word)
@@ -109,16 +115,14 @@ class PieceCodec:
             yield word, out[::-1]
 
     def _packed(self, parts: list[str]) -> bytes:
-        ids: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in p.encode())
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
+        try:
+            return b"".join(map(self.codes.__getitem__, parts))
+        except KeyError:  # characters outside the model
+            for p in parts:
+                if p not in self.codes:
+                    ids = [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
+                    self.codes[p] = np.array(ids, "<u4").tobytes()
+            return b"".join(map(self.codes.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -132,10 +136,16 @@ class PieceCodec:
         of = self.kept.__getitem__
         return [b"".join(map(of, words)) for words in cut]
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
+        every = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        size = self.size[every]
+        ends = np.cumsum(size)
+        gather = np.repeat(self.place[every] - ends + size, size)
+        gather += np.arange(len(gather))
+        raw = self.surface[gather].tobytes()
+        at = np.concatenate([[0], ends])[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -145,7 +155,7 @@ def codec(path: str) -> PieceCodec:
 
 def _encoded(batches, path: str):
     for batch in batches:
-        for part in pieces(batch, "text", 16 << 20):
+        for part in pieces(batch, "text", 4 << 20):
             ids = codec(path).encode([t or "" for t in part.column("text").to_pylist()])
             kept = [x for x in part.schema.names if x != "text"]
             yield pa.record_batch([*(part.column(x) for x in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
@@ -153,9 +163,12 @@ def _encoded(batches, path: str):
 
 def _decoded(batches, path: str):
     for batch in batches:
-        texts = [codec(path).decode(i.as_buffer()) if i.is_valid else None for i in batch.column("ids")]
         kept = [x for x in batch.schema.names if x != "ids"]
-        yield pa.record_batch([*(batch.column(x) for x in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            ids = part.column("ids").to_pylist()
+            texts = [t if i is not None else None for i, t in zip(ids, codec(path).decode([i or b"" for i in ids]), strict=True)]
+            yield pa.record_batch([*(part.column(x) for x in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:

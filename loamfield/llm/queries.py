@@ -150,29 +150,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), 2)
 
 
-def _piece_digests(batches, path: str):
-    for batch in batches:
-        ids = [i.as_buffer() for i in batch.column("ids")]
-        decoded = [piece_codec.codec(path).decode(i) for i in ids]
-        yield pa.record_batch(
-            {
-                "doc_id": batch.column("doc_id"),
-                "n_ids": pa.array([len(i) // 4 for i in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                "decoded_chars": pa.array(map(len, decoded), pa.int64()),
-                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
-                "text_sha256": batch.column("text_sha256"),
-            }
-        )
-
-
 @_query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the text that they give back."""
     model = tokenizer_file("piece_bpe_32k.model")
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = piece_codec.encoded(docs.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), model)
-    back = ids.mapInArrow(functools.partial(_piece_digests, path=model), "doc_id long, n_ids long, ids_sha256 string, decoded_chars long, decoded_sha256 string, text_sha256 string")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    ids = piece_codec.encoded(docs.withColumn("text_sha256", digest("text")), model)
+    ids = ids.withColumns({"n_ids": F.expr("octet_length(ids) div 4"), "ids_sha256": F.sha2("ids", 256)})
+    back = piece_codec.decoded(ids, model).select("doc_id", F.col("n_ids").cast("long").alias("n_ids"), "ids_sha256", digest("text").alias("decoded_sha256"), "text_sha256")
     return back.withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
 
 
