@@ -124,7 +124,7 @@ _LIST = [
     _metric("hour_of_day_distribution", "temporal", None, kind="temporal", shape="distribution"),
     _metric("day_of_week_distribution", "temporal", None, kind="temporal", shape="distribution"),
     _metric("month_of_year_distribution", "temporal", None, kind="temporal", shape="distribution"),
-    _metric("time_span_days", "temporal", lambda t: F.when(F.count(t) >= 2, (F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))) / 86400e6), kind="temporal"),
+    _metric("time_span_days", "temporal", lambda t: F.when(F.count(t) >= 2, (F.unix_micros(F.max(t).cast("timestamp")) - F.unix_micros(F.min(t).cast("timestamp"))) / 86400e6), kind="temporal"),
     _metric("median_seconds_between", "temporal", None, kind="temporal", shape="ordered"),
     _metric("entries_by_month", "temporal", None, kind="temporal", shape="distribution"),
     _metric("entries_over_time", "temporal", None, ("bin_width_days",), kind="temporal", shape="distribution"),
