@@ -24,7 +24,7 @@ from .hashing import pieces
 
 MARK = "▁"
 #: Words whose ids a worker keeps, before it starts anew.
-CACHED = 300_000
+CACHED = 200_000
 
 
 class PieceCodec:
@@ -43,9 +43,6 @@ class PieceCodec:
         self.unknown = model.unk_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids) or model.normalize("A  ﬁ\n") != "▁A▁▁ﬁ\n":
             raise ValueError("words of this model can't be encoded one by one")
-        #: What may end a piece; of a piece itself, the pieces known to agree or not with it on their right.
-        self.tails: dict[str, dict[str, bool] | bool] = {p[i:]: False for p in self.ids for i in range(len(p) - 1)}
-        self.tails |= {p: {} for p in self.ids if len(p) > 1}
         self.known = 0
         surface = [b""] * n
         for p, i in self.ids.items():
@@ -58,6 +55,12 @@ class PieceCodec:
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.kept: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tails(self) -> dict[str, dict[str, bool] | bool]:
+        """What may end a piece; of a piece itself, the pieces known to agree or not with it on their right."""
+        out: dict[str, dict[str, bool] | bool] = {p[i:]: False for p in self.ids for i in range(len(p) - 1)}
+        return out | {p: {} for p in self.ids if len(p) > 1}
+
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, the best score first, then the leftmost."""
         parts = list(text)
