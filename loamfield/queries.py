@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import over_time, registry, statistics
+from .plans import corpus, over_time, registry, runs, statistics
 
-_MODULES = (over_time, statistics)
+_MODULES = (corpus, over_time, runs, statistics)
 
 
 def queries() -> dict[str, registry.Query]:
