@@ -118,13 +118,15 @@ def index(media: bytes) -> dict:
             track = {}
         if b"trak" in path:
             track[path[-1]] = (a, b)
-    if not {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= track.keys():
+    if not {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= track.keys() or not {b"stco", b"co64"} & track.keys():
         raise ValueError("no track with sample tables")
     a, b = track[b"mdhd"]
     scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
     codec = bytes(data[track[b"stsd"][0] + 12 : track[b"stsd"][0] + 16]).decode("latin-1")
     a, b = track[b"stsz"]
     fixed, count = struct.unpack_from(">II", data, a + 4)
+    if count * max(fixed, 4 * (not fixed)) > len(data):
+        raise ValueError("there are more samples than bytes")
     sizes = np.full(count, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", count, a + 12).astype(np.int64)
     places = _table(data, *track[b"co64"], 1, True)[:, 0] if b"co64" in track else _table(data, *track[b"stco"], 1)[:, 0]
     runs = _table(data, *track[b"stsc"], 3)

@@ -50,9 +50,12 @@ def features(texts: pa.Array) -> np.ndarray:
     if not len(raw):
         return out
     kind = _KIND[raw]
-    code = kind.copy()
-    code[1:] += kind[:-1] * U64(64)
-    code[2:] += kind[:-2] * U64(4096)
+    heads = offsets[:-1][offsets[:-1] < len(raw)]
+    before = np.zeros((2, len(raw)), U64)
+    for last, of in ((kind, before[0]), (before[0], before[1])):
+        of[1:] = last[:-1]
+        of[heads] = 0  # what stands before a text is no part of it
+    code = kind + before[0] * U64(64) + before[1] * U64(4096)
     table = (mix(np.arange(64**3, dtype=U64)) % U64(half)).astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(offsets))
     out[:, :half] = np.bincount(row * half + table[code.astype(np.int64)], minlength=n * half).reshape(n, half)
