@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,15 @@ def clean(text: Column, rules: CleaningRules = CleaningRules(), normalise: bool
     return F.lower(text) if rules.lowercase else text
 
 
+def with_clean(df: DataFrame, column: str, rules: CleaningRules = CleaningRules(), to: str | None = None) -> DataFrame:
+    """``df`` with ``column`` as :func:`clean` gives it, the JVM's rules applied once and only texts that need it sent to Python."""
+    to = to or column
+    # Kept in one projection of its own: its parts are used several times below.
+    rows = df.withColumn("_clean", clean(F.col(column), rules, normalise=False)).withColumn("_odd", F.when(_needs_python(F.col("_clean")), F.col("_clean")))
+    fixed = squeeze(_normalised("_odd"))
+    return rows.withColumn(to, F.coalesce(F.lower(fixed) if rules.lowercase else fixed, "_clean")).drop("_clean", "_odd")
+
+
 def normalise_quote(text: Column) -> Column:
     """NFC, straight quotes, any white space or separator to one space, trimmed, lower case; null and empty give empty."""
     text = F.coalesce(text, F.lit(""))

@@ -64,8 +64,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rules = text.CleaningRules(source_type=kind)
-    return _entries(spark, sf_dir).select("std_id", text.text_digest(text.clean(F.col("std_text"), rules)).alias("sha"))
+    rows = text.with_clean(_entries(spark, sf_dir), "std_text", text.CleaningRules(source_type=kind))
+    return rows.select("std_id", text.text_digest(F.col("std_text")).alias("sha"))
 
 
 _CLEANED = "SELECT doc_id AS std_id, sha256(nfc_normalize({x})) AS sha FROM (SELECT doc_id, text AS std_text FROM documents)"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus, over_time, registry, runs, statistics
+from .plans import corpus, live, over_time, registry, runs, statistics
 
-_MODULES = (corpus, over_time, runs, statistics)
+_MODULES = (corpus, live, over_time, runs, statistics)
 
 
 def queries() -> dict[str, registry.Query]:
