@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
+
 
 def jaro(a: str, b: str) -> float:
     """Jaro similarity without prefix weight."""
@@ -43,9 +45,9 @@ def set_jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
 
 def label_set(labels: Column) -> Column:
     """Distinct labels of an array, trimmed and in lower case, without blanks."""
-    return F.array_distinct(F.filter(F.transform(labels, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(labels, lambda x: F.lower(strip(x))), lambda x: x != ""))
 
 
 def split_labels(cell: Column) -> Column:
     """Labels of a ``"; "``-joined cell; null and blank cells have none."""
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ";"), lambda x: strip(x)), lambda x: x != "")

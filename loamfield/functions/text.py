@@ -110,6 +110,11 @@ def _generic(text: Column, rules: CleaningRules) -> Column:
 PLATFORMS = {"reddit": _reddit, "twitter": _twitter, "clinical": _clinical}
 
 
+def strip(text: Column) -> Column:
+    """Without spaces, tabs and line ends at either end."""
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -145,9 +150,9 @@ def normalise_quote(text: Column) -> Column:
 
 def normalise_code_name(name: Column) -> Column:
     """Quotes straightened and stripped, list numbers and a NEW: prefix dropped, in any order of the two."""
-    name = F.trim(F.translate(name, "“”‘’", "\"\"''"))
+    name = strip(F.translate(name, "“”‘’", "\"\"''"))
     for _ in range(2):
-        name = F.trim(_drop(name, r"^\d+\.\s*", r"(?i)^NEW:\s*", "^[\"']+", "[\"']+$"))
+        name = strip(_drop(name, r"^\d+\.\s*", r"(?i)^NEW:\s*", "^[\"']+", "[\"']+$"))
     return name
 
 
@@ -181,7 +186,7 @@ def word_count(text: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    safe = F.substring(F.lower(F.regexp_replace(F.trim(_drop(name, "[^A-Za-z0-9 _-]")), r"\s+", "_")), 1, 80)
+    safe = F.substring(F.lower(F.regexp_replace(strip(_drop(name, "[^A-Za-z0-9 _-]")), r"\s+", "_")), 1, 80)
     return F.when(safe == "", "unnamed").otherwise(safe)
 
 
@@ -191,7 +196,7 @@ def anchor_id(name: Column) -> Column:
 
 def code_slug(name: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def csv_field(text: Column) -> Column:

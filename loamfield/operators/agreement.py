@@ -74,7 +74,7 @@ def set_alpha(pairs: DataFrame) -> DataFrame:
     other = kinds.select(F.col("s").alias("s2"), F.col("k").alias("k2"))
     d = set_distance(F.col("s"), F.col("s2")) * F.col("k") * F.col("k2")
     total = kinds.crossJoin(other).agg(F.sum(d).alias("d"), F.sum(F.col("k") * F.col("k2")).alias("w"), F.sum(F.when(F.col("s") == F.col("s2"), F.col("k"))).alias("self"))
-    expected = F.col("d") / (F.col("w") - F.col("self"))
+    expected = F.try_divide(F.col("d"), F.col("w") - F.col("self"))
     both = observed.crossJoin(total).withColumn("expected", expected)
     alpha = F.when(F.col("n") >= 2, F.when(F.col("expected") > 0, 1 - F.col("observed") / F.col("expected")).otherwise(1.0))
     return both.select("n", "observed", "expected", alpha.alias("alpha"))
@@ -111,7 +111,7 @@ def nominal_alpha(pairs: DataFrame, a: str, b: str) -> DataFrame:
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     observed = rows.agg(F.count("*").alias("n"), F.avg((F.col(a) != F.col(b)).cast("double")).alias("do"))
     values = rows.select(F.explode(F.array(F.col(a).cast("string"), F.col(b).cast("string"))).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
-    de = values.agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s")).select((1 - (F.col("s") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("de"))
+    de = values.agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s")).select((1 - F.try_divide(F.col("s") - F.col("m"), F.col("m") * (F.col("m") - 1))).alias("de"))
     return observed.crossJoin(de).select("n", F.when(F.col("de") > 0, 1 - F.col("do") / F.col("de")).otherwise(1.0).alias("alpha"))
 
 

@@ -46,6 +46,12 @@ def _fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Seri
     return pd.Series([fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of two columns that are null together; null where one doesn't vary."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def usable_columns(df: DataFrame, metrics: Sequence[str], members: Sequence[str] = ()) -> list[str]:
     """Metrics with enough values and variance, and 0/1 columns with enough members: one aggregate."""
     x = {c: cleaned(F.col(f"`{c}`")) for c in [*metrics, *members]}
@@ -101,14 +107,14 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     x = {c: cleaned(F.col(f"`{c}`")) for c in columns}
     if method == "pearson":
         both = {(a, b): (F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])) for a, b in combinations(columns, 2)}
-        row = df.agg(*(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.corr(u, v).alias("r"), F.count(u).alias("n")).alias(f"{a}\0{b}") for (a, b), (u, v) in both.items()))
+        row = df.agg(*(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(u, v).alias("r"), F.count(u).alias("n")).alias(f"{a}\0{b}") for (a, b), (u, v) in both.items()))
         out = row.select(F.explode(F.array(*(F.col(f"`{c}`") for c in row.columns))).alias("v")).select("v.*")
     else:
         parts = []
         for a, b in combinations(columns, 2):
             rows = df.select(x[a].alias("_a"), x[b].alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
             ranked = average_ranks(average_ranks(rows, "_a", "_ra"), "_b", "_rb")
-            parts.append(ranked.agg(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.corr("_ra", "_rb").alias("r"), F.count("*").alias("n")))
+            parts.append(ranked.agg(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(F.col("_ra"), F.col("_rb")).alias("r"), F.count("*").alias("n")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -194,8 +200,8 @@ def group_comparison(rows: DataFrame, group: str, member: str, values: Sequence[
         F.sum(F.col("t") - F.col("a")).alias("n2"),
         F.sum(F.col("rank") * F.col("a")).alias("ranks"),
         F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"),
-        (F.sum(F.col("x") * F.col("a")) / F.sum("a")).alias("mean_1"),
-        (F.sum(F.col("x") * (F.col("t") - F.col("a"))) / F.sum(F.col("t") - F.col("a"))).alias("mean_2"),
+        F.try_divide(F.sum(F.col("x") * F.col("a")), F.sum("a")).alias("mean_1"),
+        F.try_divide(F.sum(F.col("x") * (F.col("t") - F.col("a"))), F.sum(F.col("t") - F.col("a"))).alias("mean_2"),
     )
     sums = sums.where((n1 >= least) & (n2 >= least)).withColumn("u", F.col("ranks") - n1 * (n1 + 1) / 2)
     shift = F.col("u") - n1 * n2 / 2

@@ -115,7 +115,7 @@ def saturation_curve(births: DataFrame, window: int) -> DataFrame:
     total = W.partitionBy(F.lit(0)).orderBy("n_coded").rowsBetween(W.unboundedPreceding, 0)
     recent = W.partitionBy(F.lit(0)).orderBy("n_coded").rangeBetween(-(window - 1), 0)
     n = F.sum("n_births").over(total)
-    return births.select("n_coded", n.alias("n_codes"), F.sum("n_births").over(recent).alias("n_recent"), (n / F.sum("n_assigned").over(total)).alias("slope"))
+    return births.select("n_coded", n.alias("n_codes"), F.sum("n_births").over(recent).alias("n_recent"), F.try_divide(n, F.sum("n_assigned").over(total)).alias("slope"))
 
 
 def nearest_point(curve: DataFrame, at: float) -> DataFrame:

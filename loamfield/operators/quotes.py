@@ -69,9 +69,9 @@ def provenance_rates(quotes: DataFrame) -> DataFrame:
     n = F.count("*")
     return quotes.agg(
         n.alias("total"),
-        (F.count_if(F.col("status").isin("verified_exact", "verified_fuzzy")) / n).alias("verification_rate"),
-        (F.count_if(F.col("status") == "fabricated") / n).alias("fabrication_rate"),
-        (F.count_if(F.col("status") == "drifted") / n).alias("drift_rate"),
+        F.try_divide(F.count_if(F.col("status").isin("verified_exact", "verified_fuzzy")), n).alias("verification_rate"),
+        F.try_divide(F.count_if(F.col("status") == "fabricated"), n).alias("fabrication_rate"),
+        F.try_divide(F.count_if(F.col("status") == "drifted"), n).alias("drift_rate"),
     )
 
 

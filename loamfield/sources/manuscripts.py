@@ -54,7 +54,7 @@ def sections(texts: DataFrame, key: str = "path", text: str = "text") -> DataFra
         opens = F.when((F.char_length("line") < 80) & F.col("line").rlike(pattern), name).otherwise(opens)
     marked = lines.withColumn("_opens", opens).withColumn("section", F.last("_opens", ignorenulls=True).over(W.partitionBy(key).orderBy("i")))
     body = marked.where("section IS NOT NULL AND _opens IS NULL")
-    return body.groupBy(key, "section").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")).alias("text"))
+    return body.groupBy(key, "section").agg(F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("text"))
 
 
 def filename_metadata(name: Column) -> dict[str, Column]:

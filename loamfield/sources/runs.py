@@ -67,7 +67,7 @@ def memos(spark: SparkSession, folder: str) -> DataFrame:
     head = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 1)
     field = lambda k: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1)), F.lit(""))
     linked = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(field("themes"), F.lit("")), r"[\[\]\"]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return files.select("path", field("type").alias("type"), field("author").alias("author"), linked.alias("themes"), F.trim(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 2)).alias("body"))
+    return files.select("path", field("type").alias("type"), field("author").alias("author"), linked.alias("themes"), F.btrim(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 2), F.lit(" \t\r\n")).alias("body"))
 
 
 def latest_checkpoint(spark: SparkSession, folder: str, step: str) -> DataFrame | None:
