@@ -33,8 +33,8 @@ from .shared import written
 
 SEQUENCE, UNIT = 4096, 64
 UNITS = SEQUENCE // UNIT
-#: Words whose ids a worker keeps, before it starts anew.
-CACHED = 300_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHED = 400_000
 
 # --- tokens ---------------------------------------------------------------------------------
 
@@ -43,6 +43,25 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
 
 
+class _Kept(dict):
+    """Values by word, computed when first asked for.  Of two generations the older goes when the younger is full, so what is asked for often stays."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        self[word] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Token ids of texts by a tokenizers file whose words are encoded one by one.
 
@@ -63,7 +82,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
         self.by_word = bool(steps) and steps[0].get("pattern", {}).get("Regex") == self.RULE and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.model, self.kept = self.whole.model, {}
+        self.model, self.kept = self.whole.model, _Kept(self._word, CACHED)
         letters, digits, space = _class("L"), _class("N"), r"\t-\r \x85\xa0"
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
         special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
@@ -80,16 +99,8 @@ class WordEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.by_word or self.odd(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.cut(text.lower())
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            if len(self.kept) > CACHED:
-                self.kept.clear()
-            for w in set(words):
-                if w not in self.kept:
-                    self.kept[w] = self._word(w)
-            return b"".join(map(self.kept.__getitem__, words))
+        self.kept.turn()
+        return b"".join(map(self.kept.__getitem__, self.cut(text.lower())))
 
 
 @functools.lru_cache(maxsize=2)
