@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import split_labels
+from ..functions.text import metric_tag, truncated_at_word
 
 # Score bands, prevalence bands, prefix of wide membership columns.
 NEGATIVE, POSITIVE = -0.2, 0.2
@@ -212,3 +213,21 @@ def spread_quotes(rows: DataFrame, score: str, order: str, author: str, least_ch
         return pd.DataFrame(out, columns=["theme", "position", "std_id", "author", "score", "place"])
 
     return near.select("theme", "std_id", F.col(author), F.col(score).cast("double"), "_i", "_n").groupBy("theme").applyInPandas(pick, schema)
+
+
+def tagged_quotes(rows: DataFrame, score: str, order: str, metrics: Sequence[str], most: int = 280) -> DataFrame:
+    """(theme, position, std_id, quote): extreme quotes cut at a word, with a tag of their metrics."""
+    text = F.concat_ws(" ", truncated_at_word(F.col("std_text"), most), F.nullif(metric_tag(metrics), F.lit("")))
+    return extreme_quotes(rows, score, order).select("theme", "position", "std_id", text.alias("quote"))
+
+
+def theme_set_summary(themes: DataFrame, top: int = 5) -> DataFrame:
+    """(kind, n_themes, top): how many themes of each kind (theme, kind, n_entries), and the largest."""
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n_entries"), "theme"))
+    ranked = themes.withColumn("_i", place)
+    best = F.transform(F.array_sort(F.collect_list(F.when(F.col("_i") <= top, F.struct("_i", "theme")))), lambda x: x["theme"])
+    return ranked.groupBy("kind").agg(F.count("*").alias("n_themes"), best.alias("top"))
+
+
+def frequent_labels(membership: DataFrame, top: int = 30) -> DataFrame:
+    return membership.groupBy("theme").agg(F.countDistinct("std_id").alias("n")).orderBy(F.desc("n"), "theme").limit(top)

@@ -294,3 +294,36 @@ def test_inserts_are_idempotent(spark, tmp_path):
         stream = spark.readStream.schema("id long, v string").option("recursiveFileLookup", "true").parquet(str(folder))
         live.inserts(stream, "id", target, str(tmp_path / f"cp{n}")).awaitTermination()
         assert spark.read.parquet(target).count() == 2
+
+
+def test_analysis_end_to_end(spark, sf_dir):
+    from loamfield.plans import analysis
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = [("the", r"\bthe\b"), ("und", r"\bund\b"), ("les", r"\bles\b")]
+    codes = spark.createDataFrame([("the", "english"), ("und", "german"), ("les", "french")], "code_key string, theme string")
+    score = lambda e: e.select("std_id", (F.length("std_text") % 5 - 2.0).alias("sentiment_score"), F.lit(2.0).alias("confidence"), F.lit(None).cast("double").alias("emotion_intensity"), F.array(F.lit("joy")).alias("emotions"))
+    out = analysis.analysed(spark, {"documents": docs}, lambda e: coding.pattern_segments(e, rules), codes, score, config.loaded("{}", {"data.source_type": "generic"}))
+    assert out["coverage"].first().n_duplicate_ids == 0 and out["statistics"].count() == 3
+    assert out["sentiment"].agg(F.max("confidence"), F.max("sentiment_score")).first()[:] == (1.0, 1.0)
+    assert {r.group for r in out["groups"].collect()} <= {"english", "german", "french"}
+    grid = analysis.scaffold(out["entries"], out["membership"], ["x", "y"], spark.createDataFrame([("english", "x", 2)], "theme string, category string, n_emitted long"), spark.createDataFrame([("german", "y")], "theme string, category string"))
+    assert grid["open"].count() == 4 and grid["grid"].where("status = 'silent_skip'").count() == 4
+
+
+def test_two_runs_compared(spark, tmp_path):
+    from loamfield.plans import analysis
+
+    for day, theme in (("01", "Sleep"), ("02", "Sleeping")):
+        folder = tmp_path / f"run_2026-01-{day}_120000"
+        folder.mkdir()
+        (folder / "sentiment_scores.csv").write_text(f"std_id,std_text,sentiment_score,all_emotions,emotion_intensity,confidence,emerged_themes,source_table\n1,a,0.{day},joy; fear,1,1,{theme},posts\n{day},b,0.5,joy,1,1,{theme},posts\n")
+        (folder / "codes.csv").write_text("code_key,code_text,code_type,frequency,n_entries\nk,sleep,d,1,1\n")
+        (folder / "correlations.csv").write_text("var1,var2,correlation,p_value,effect_size,significant,ci_lower,ci_upper\na,b,0.5,0.01,large,TRUE,0.1,0.9\n")
+        (folder / "themes.json").write_text(exports.stamped_json([{"name": theme, "entry_count": 2, "codes_included": "sleep"}], {}))
+        (folder / "run_metadata.json").write_text('{"provider": "p", "model_primary": "m' + day + '", "analysis_schema_version": "1.1"}')
+    for models in (False, True):
+        out = analysis.compared(spark, str(tmp_path), models)
+        assert out["samples"].first().n_shared == 1 and out["themes"].first().status == "persisted"
+        assert out["stability"].first().n_stable == 1 and out["codes"].first().status == "stable"
+        assert out["correlations"].first().status == "persistent" and out["timeline"].count() == 2
