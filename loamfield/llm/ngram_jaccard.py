@@ -188,6 +188,8 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
         "doc_id", "n", F.col("e.keys").alias("token"), F.col("e.places").alias("at")
     )
     hubs = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("at", "n", "doc_id")).alias("hub")).where("df > 1")
+    # Written, so that the join below shuffles both sides and Spark can split a list that many entries are in.
+    hubs = written(hubs.select("token", "hub"), "hubs")
     shared = written(entries.join(hubs, "token"), "lists")
 
     def may_reach(n1, at1, n2, at2):
