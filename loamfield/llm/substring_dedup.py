@@ -8,6 +8,11 @@ The others are dealt to shards by anchor, equal pieces once.  A shard indexes it
 (:mod:`fm_index`) and streams them through the index by backward search over the wavelet
 matrix, which reports for each window the smallest document that holds it.  The intervals go
 back to every document that has the piece.
+
+An anchor that more than ``CROWD`` different pieces share, such as a line that a third of the
+documents have in other surroundings, would make one shard as large as the corpus.  Pieces of
+such anchors are taken apart into their windows, whose hashes are pre-aggregated like any
+key: the same answer, by a path that no group's size can crowd.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ ANCHOR = 20
 RUN = 64
 #: Words after which a shard's task builds an index of what it has read; no anchor is divided.
 INDEX_WORDS = 1 << 20
+#: Different pieces of one anchor that a shard takes; the windows of more are compared by their hashes.
+CROWD = 256
 _SPAN = 0xD6E8FEB86659FD93
 
 
@@ -91,21 +98,24 @@ def _scanned(batches, window: int):
 
 
 def _contents(batches, window: int):
-    """Words, as the low halves of their hashes, of the pieces that a document owns."""
+    """Of the pieces that a document owns the words, as the low halves of their hashes; of crowded anchors the hashes of windows instead."""
     for batch in batches:
         for part in pieces(batch, "text"):
             raw, offsets = byte_view(part.column("text"))
             words, _, at = word_hashes(raw, offsets)
             codes = (words & U64(0xFFFFFFFF)).astype(np.uint32)
-            rows = {"anchor": [], "piece": [], "owner": [], "words": []}
+            rows: dict[str, list] = {"anchor": [], "piece": [], "owner": [], "words": [], "windows": []}
             for i, (doc, owned) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("owned").to_pylist(), strict=True)):
-                mine = codes[at[i] : at[i + 1]]
+                low, mine = codes[at[i] : at[i + 1]], words[at[i] : at[i + 1]]
                 for p in owned:
+                    inside = slice(p["start"], p["start"] + p["runs"] + window - 1)
                     rows["anchor"].append(p["anchor"])
                     rows["piece"].append(p["piece"])
                     rows["owner"].append(doc)
-                    rows["words"].append(mine[p["start"] : p["start"] + p["runs"] + window - 1].tobytes())
-            yield pa.record_batch({"anchor": pa.array(rows["anchor"], pa.int64()), "piece": pa.array(rows["piece"], pa.int64()), "owner": pa.array(rows["owner"], pa.int64()), "words": pa.array(rows["words"], pa.binary())})
+                    rows["words"].append(None if p["crowded"] else low[inside].tobytes())
+                    rows["windows"].append(gram_hashes(mine[inside], window).view(np.int64) if p["crowded"] else None)
+            kinds = {"anchor": pa.int64(), "piece": pa.int64(), "owner": pa.int64(), "words": pa.binary(), "windows": pa.list_(pa.int64())}
+            yield pa.record_batch({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
 
 def _reported(piece: list[int], owner: list[int], words: list[bytes], window: int) -> pa.RecordBatch:
@@ -183,11 +193,19 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     )
     each = named.select("doc_id", F.explode(F.arrays_zip("anchor", "piece", "start", "runs")).alias("p")).select("doc_id", "p.*")
     members = written(each.join(shared, "anchor", "left_semi"), "members")
-    owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "runs")).alias("o")).select("o.doc_id", F.struct("anchor", "piece", "o.start", "o.runs").alias("p"))
-    owned = written(owners.groupBy("doc_id").agg(F.collect_list("p").alias("owned")), "owned")
+    owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "runs")).alias("o"))
+    owners = written(owners.select("o.doc_id", "anchor", "piece", "o.start", "o.runs"), "owners")
+    crowds = written(owners.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
+    marked = owners.join(crowds, "anchor", "left").select("doc_id", F.struct("anchor", "piece", "start", "runs", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("p"))
+    owned = written(marked.groupBy("doc_id").agg(F.collect_list("p").alias("owned")), "owned")
     own = chosen(texts, owned.select("doc_id")).join(owned, "doc_id")
-    contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary")
-    found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
+    contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary, windows array<long>")
+    contents = written(contents, "contents")
+    sharded = contents.where("words IS NOT NULL").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
+    found = sharded.mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
+    each_window = contents.where("windows IS NOT NULL").select("piece", "owner", F.posexplode("windows").alias("from", "hash"))
+    least = written(each_window.groupBy("hash").agg(F.min("owner").alias("least")), "windows")
+    found = found.unionByName(each_window.join(least, "hash").select("piece", "from", (F.col("from") + 1).alias("to"), "least"))
     hits = (
         members.select("doc_id", "piece", "start")
         .join(found, "piece")

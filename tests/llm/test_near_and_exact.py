@@ -171,3 +171,12 @@ def test_index_reports_smallest_owner():
         for t, s in zip(texts, index.starts, strict=True):
             for i in range(len(t) + 1):
                 assert got[s + i] == (least[tuple(t[i : i + depth])] if i + depth <= len(t) else -1)
+
+
+def test_crowded_anchors(spark, odd_rows, monkeypatch):
+    """Pieces of anchors that many share are compared by their windows, with the same result."""
+    rows = [(r[0], r[1]) for r in odd_rows[:40] if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (0, 1, 3):
+        monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+        assert sorted(map(str, _passages(docs))) == sorted(map(str, brute_passages(rows)))
