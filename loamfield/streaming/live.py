@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import sources  # noqa: F401 - the batch side's readers
-
 
 def read(spark: SparkSession, folder: str, schema, files_a_batch: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
