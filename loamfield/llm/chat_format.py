@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -151,6 +153,7 @@ _SPAN = T.StructType().add("start", "integer").add("stop", "integer")
 _ADDED = T.StructType().add("fingerprint", "string").add("layout", "string").add("formatted", "string").add("loss", T.ArrayType(_SPAN))
 
 
+@lean
 def _formatted(batches, key: str):
     layouts = Layouts()
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))

@@ -80,12 +80,13 @@ class FMIndex:
         text = np.zeros(len(is_end), np.int64)
         text[~is_end] = codes + 1
         self.text, n = text, len(text)
-        names, size = {1: text}, 1
+        names, size = text, 1
         while size * 2 < depth:
-            names[size * 2] = _names(names[size], _ahead(names[size], size))
+            names = _names(names, _ahead(names, size))
             size *= 2
-        shorter = names[size] if depth - 1 == size else _names(names[size], _ahead(names[size], depth - 1 - size))
-        full = _names(names[size], _ahead(names[size], depth - size))
+        shorter = names if depth - 1 == size else _names(names, _ahead(names, depth - 1 - size))
+        full = _names(names, _ahead(names, depth - size))
+        del names
         order = np.argsort(full, kind="stable")
         self.tree = WaveletMatrix(text[order - 1], max(1, int(len(alphabet)).bit_length()))
         counts = np.bincount(text, minlength=len(alphabet) + 2)

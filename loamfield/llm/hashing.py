@@ -41,6 +41,8 @@ def _byte_values(fold_case: bool) -> np.ndarray:
 
 _VALUES = {fold: _byte_values(fold) for fold in (False, True)}
 _powers: dict[int, np.ndarray] = {}
+#: Powers of a base that a worker keeps, at most; those for longer texts are made anew.
+MOST_KEPT = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -51,7 +53,8 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base & (2**64 - 1), U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if size <= MOST_KEPT:
+            _powers[base] = have
     return have[:n]
 
 
@@ -74,7 +77,7 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     _, offsets = byte_view(batch.column(column))
     at = 0

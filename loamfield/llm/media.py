@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 UNIT, RATE, UNITS_A_CHUNK = 64, 8000, 16
 #: Boxes that hold boxes only.
 CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"])
@@ -165,6 +167,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
+@lean
 def _encoded(batches):
     from .hashing import pieces
 
@@ -185,6 +188,7 @@ _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _ADDED = T.StructType().add("codec", "string").add("seconds", "double").add("n_samples", "long").add("keyframes", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("error", "string")
 
 
+@lean
 def _indexed(batches):
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("codec", "seconds", "n_samples", "keyframes", "error")}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U64, mix, pieces, shingle_sets
-from .shared import chosen, written
+from .shared import chosen, lean, written
 
 #: Counters of the sketch and the count from which a token is called frequent.
 SKETCH_BITS, FREQUENT = 22, 256
@@ -38,14 +38,23 @@ SHORT = 64
 _SLICE = 1 << 16
 
 
+@lean
 def _sketch(batches, n: int):
     """Token counts of one task, as slices of saturating bytes."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    held: list[np.ndarray] = []
+
+    def count() -> None:
+        if held:
+            np.add(counts, np.bincount((np.concatenate(held) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)), out=counts, casting="unsafe")
+            held.clear()
+
     for batch in batches:
         for part in pieces(batch, "text"):
-            sets = list(shingle_sets(part.column("text"), n))
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            held.extend(shingle_sets(part.column("text"), n))
+            if sum(map(len, held)) > 1 << 20:  # a pass over the counters for a million tokens, not for each slice
+                count()
+    count()
     if counts.any():
         for at in range(0, len(counts), _SLICE):
             part = counts[at : at + _SLICE]
@@ -53,6 +62,7 @@ def _sketch(batches, n: int):
             yield pa.record_batch({"slice": pa.array([at // _SLICE], pa.int32()), "wide": pa.array([bool(wide)]), "counts": pa.array([part.astype(np.uint32 if wide else np.uint8).tobytes()], pa.binary())})
 
 
+@lean
 def _merged(batches):
     """Sums the slices of one id, in the order they come: one slice is held at a time."""
     held, total = None, None
@@ -111,6 +121,7 @@ def _entries(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(keys), np.concatenate(places)
 
 
+@lean
 def _indexed(batches, n: int, percent: int, classes: Broadcast):
     """One row a document: size, digest of its set, and the entries of its prefix."""
     import hashlib
@@ -136,12 +147,14 @@ def _indexed(batches, n: int, percent: int, classes: Broadcast):
             )
 
 
+@lean
 def _sets(batches, n: int):
     for batch in batches:
         for part in pieces(batch, "text"):
             yield pa.record_batch({"id": part.column("doc_id"), "tokens": pa.array([s.tobytes() for s in shingle_sets(part.column("text"), n)], pa.binary())})
 
 
+@lean
 def _similar(batches, percent: int):
     """Of pairs with both sets, those whose Jaccard similarity is ``percent`` or more."""
     for batch in batches:
@@ -188,7 +201,7 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
         "doc_id", "n", F.col("e.keys").alias("token"), F.col("e.places").alias("at")
     )
     hubs = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("at", "n", "doc_id")).alias("hub")).where("df > 1")
-    # Written, so that the join below shuffles both sides and Spark can split a list that many entries are in.
+    # Written, as other sums by token below, so that their joins shuffle both sides and Spark can split a list that many are in.
     hubs = written(hubs.select("token", "hub"), "hubs")
     shared = written(entries.join(hubs, "token"), "lists")
 
@@ -209,8 +222,10 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
     # Pairs across components: of each list, what lies outside the component most of it is in, against all of it.
     placed = shared.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("c"), F.col("hub.doc_id").alias("h"))
     split = placed.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
+    split = written(split, "split")
     open_ = written(placed.join(split, "token", "left_semi"), "open")
     largest = open_.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top")).select("token", F.col("top.c").alias("top"))
+    largest = written(largest, "largest")
     minor = open_.where("doc_id <> h").join(largest, "token").where("c <> top").select("token", *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "at", "c")))
     rest = (
         minor.join(open_.where("doc_id <> h"), "token")

@@ -29,12 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import pieces
-from .shared import written
+from .shared import lean, written
 
 SEQUENCE, UNIT = 4096, 64
 UNITS = SEQUENCE // UNIT
 #: Words whose ids a worker keeps in each of two generations.
-CACHED = 400_000
+CACHED = 200_000
 
 # --- tokens ---------------------------------------------------------------------------------
 
@@ -108,6 +108,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@lean
 def _tokenised(batches, path: str, end_id: int):
     """One row a document: its length, checksums of its full sequences and its item, the filler's ids, and its ranks within this task."""
     task = TaskContext.get().partitionId()
@@ -256,6 +257,7 @@ def packing_plan(demand: np.ndarray, filler: int, first: int) -> Plan:
 # --- pieces ---------------------------------------------------------------------------------
 
 
+@lean
 def _placed(batches, plan: Broadcast):
     """The pieces of each document of the tokenised table, whose offsets over all tasks are given."""
     import bisect

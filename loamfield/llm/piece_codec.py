@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .hashing import pieces
+from .shared import lean
 
 MARK = "▁"
 #: Words whose ids a worker keeps, before it starts anew.
@@ -156,6 +157,7 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+@lean
 def _encoded(batches, path: str):
     for batch in batches:
         for part in pieces(batch, "text", 4 << 20):
@@ -164,6 +166,7 @@ def _encoded(batches, path: str):
             yield pa.record_batch([*(part.column(x) for x in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
 
+@lean
 def _decoded(batches, path: str):
     for batch in batches:
         kept = [x for x in batch.schema.names if x != "ids"]

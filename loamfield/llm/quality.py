@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import U64, byte_view, mix, pieces, word_hashes
+from .shared import lean
 
 FEATURES, DIMENSIONS, NEIGHBOURS = 1024, 48, 25
 #: Labelled rows that the model is made from, at most: those with the smallest hashes of their ids.
@@ -90,9 +91,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+@lean
 def _counted(batches):
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 19):
+        for part in pieces(batch, "text"):
             x = features(part.column("text"))
             yield pa.record_batch({"label": part.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -128,9 +130,10 @@ class Voters:
         return np.where(counts.sum(axis=1) > 0, np.clip(out, 0, 1), self.prior)
 
 
+@lean
 def _scored(batches, voters: Broadcast):
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 19):
+        for part in pieces(batch, "text"):
             yield pa.record_batch({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "score": pa.array(voters.value.scores(features(part.column("text"))))})
 
 
@@ -160,9 +163,10 @@ def scored(docs: DataFrame, voters: Voters) -> DataFrame:
     return rows.mapInArrow(functools.partial(_scored, voters=sent), T.StructType([rows.schema["doc_id"], rows.schema["mark"], T.StructField("score", T.DoubleType())]))
 
 
+@lean
 def _accepted(batches, voters: Broadcast, least: float):
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 19):
+        for part in pieces(batch, "text"):
             yield part.filter(pa.array(voters.value.scores(features(part.column("text"))) >= least))
 
 

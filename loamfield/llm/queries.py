@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, license_scan, media, ngram_jaccard, packing, piece_codec, quality, substring_dedup, url_filter
-from .shared import documents
+from .shared import documents, lean
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,6 +24,7 @@ def _query(f: Query) -> Query:
     return f
 
 
+@lean
 def _chat_digests(batches):
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
@@ -114,6 +115,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lean
 def _media_digests(batches):
     for batch in batches:
         names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

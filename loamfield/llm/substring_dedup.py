@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .hashing import U64, byte_view, gram_hashes, inverse, mix, pieces, powers, word_hashes
-from .shared import chosen, written
+from .shared import chosen, lean, written
 
 ANCHOR = 20
 #: Windows of one piece at most; a longer run of windows with one anchor is several pieces.
 RUN = 64
 #: Words after which a shard's task builds an index of what it has read; no anchor is divided.
-INDEX_WORDS = 1 << 20
+INDEX_WORDS = 1 << 19
 #: Different pieces of one anchor that a shard takes; the windows of more are compared by their hashes.
 CROWD = 256
 _SPAN = 0xD6E8FEB86659FD93
@@ -73,6 +73,7 @@ def _pieces_of(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarr
     return first, runs, least[first], mix(content + runs.astype(U64))
 
 
+@lean
 def _scanned(batches, window: int):
     """One row a document: its words, the digest of all of them, and its pieces."""
     for batch in batches:
@@ -97,6 +98,7 @@ def _scanned(batches, window: int):
             )
 
 
+@lean
 def _contents(batches, window: int):
     """Of the pieces that a document owns the words, as the low halves of their hashes; of crowded anchors the hashes of windows instead."""
     for batch in batches:
@@ -132,6 +134,7 @@ def _reported(piece: list[int], owner: list[int], words: list[bytes], window: in
     return pa.record_batch({"piece": pa.array(np.array(piece, np.int64)[of[head]]), "from": pa.array(offset[head].astype(np.int32)), "to": pa.array((offset[head] + size).astype(np.int32)), "least": pa.array(least[head])})
 
 
+@lean
 def _searched(batches, window: int):
     """Rows in order of their anchors; an index for every INDEX_WORDS words or so, and one at least for a whole anchor."""
     held: tuple[list, list, list] = ([], [], [])
@@ -148,6 +151,7 @@ def _searched(batches, window: int):
         yield _reported(*held, window)
 
 
+@lean
 def _removed(batches, window: int):
     """Words left of each document, which windows to remove being given."""
     for batch in batches:
