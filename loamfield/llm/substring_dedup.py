@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
@@ -209,7 +210,11 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     found = sharded.mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
     each_window = contents.where("windows IS NOT NULL").select("piece", "owner", F.posexplode("windows").alias("from", "hash"))
     least = written(each_window.groupBy("hash").agg(F.min("owner").alias("least")), "windows")
-    found = found.unionByName(each_window.join(least, "hash").select("piece", "from", (F.col("from") + 1).alias("to"), "least"))
+    # Windows of a piece in a row with one answer become an interval again, before documents meet them.
+    answered = each_window.join(least, "hash").select("piece", "from", "least")
+    island = F.col("from") - F.row_number().over(W.partitionBy("piece", "least").orderBy("from"))
+    runs = answered.withColumn("island", island).groupBy("piece", "least", "island").agg(F.min("from").alias("from"), (F.max("from") + 1).alias("to"))
+    found = found.unionByName(runs.select("piece", "from", "to", "least"))
     hits = (
         members.select("doc_id", "piece", "start")
         .join(found, "piece")
