@@ -162,9 +162,9 @@ def _removed(batches, window: int):
             for text, hits in zip(texts, part.column("hits").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 drop = np.zeros(len(words) + 1, np.int32)
-                for h in hits:  # those of another row of this document may lie beyond
-                    drop[min(h["from"], len(words))] += 1
-                    drop[min(h["to"] + window - 1, len(words))] -= 1
+                for h in hits:
+                    drop[h["from"]] += 1
+                    drop[h["to"] + window - 1] -= 1
                 drop = np.cumsum(drop)[:-1] > 0
                 gone.append(int(drop.sum()))
                 left.append(b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d]).decode())
@@ -180,8 +180,8 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     n_words, n_removed, kept) once for each doc_id and text that may lose a word: each word covered by a ``window`` of words that also starts in a document
     with a smaller doc_id goes, ``kept`` is the rest joined by one space.  Windows are judged
     on the input.  Rows that share a doc_id are one document: their windows repeat no other
-    of its rows, and what is covered in one is removed at the same place in each.  Rows
-    without doc_id lose nothing and stand for nothing.
+    of its rows, but each row loses only what is covered in its own text.  Rows without
+    doc_id lose nothing and stand for nothing.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     scanned = written(
@@ -196,14 +196,14 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
         .where("least < most")
         .select("anchor")
     )
-    each = named.select("doc_id", F.explode(F.arrays_zip("anchor", "piece", "start", "runs")).alias("p")).select("doc_id", "p.*")
+    each = named.select("doc_id", "mark", F.explode(F.arrays_zip("anchor", "piece", "start", "runs")).alias("p")).select("doc_id", "mark", "p.*")
     members = written(each.join(shared, "anchor", "left_semi"), "members")
-    owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "runs")).alias("o"))
-    owners = written(owners.select("o.doc_id", "anchor", "piece", "o.start", "o.runs"), "owners")
+    owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "mark", "start", "runs")).alias("o"))
+    owners = written(owners.select("o.doc_id", "o.mark", "anchor", "piece", "o.start", "o.runs"), "owners")
     crowds = written(owners.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
-    marked = owners.join(crowds, "anchor", "left").select("doc_id", F.struct("anchor", "piece", "start", "runs", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("p"))
-    owned = written(marked.groupBy("doc_id").agg(F.collect_list("p").alias("owned")), "owned")
-    own = chosen(texts, owned.select("doc_id")).join(owned, "doc_id")
+    marked = owners.join(crowds, "anchor", "left").select("doc_id", "mark", F.struct("anchor", "piece", "start", "runs", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("p"))
+    owned = written(marked.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("owned")), "owned")
+    own = chosen(texts, owned.select("doc_id")).join(owned, ["doc_id", "mark"])
     contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary, windows array<long>")
     contents = written(contents, "contents")
     sharded = contents.where("words IS NOT NULL").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
@@ -216,13 +216,13 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     runs = answered.withColumn("island", island).groupBy("piece", "least", "island").agg(F.min("from").alias("from"), (F.max("from") + 1).alias("to"))
     found = found.unionByName(runs.select("piece", "from", "to", "least"))
     hits = (
-        members.select("doc_id", "piece", "start")
+        members.select("doc_id", "mark", "piece", "start")
         .join(found, "piece")
         .where("least < doc_id")
-        .select("doc_id", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("hit"))
+        .select("doc_id", "mark", F.struct((F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).alias("hit"))
     )
-    hits = written(hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits")), "hits")
-    changed = chosen(texts, hits.select("doc_id")).join(hits, "doc_id").select("doc_id", "mark", "text", "hits")
+    hits = written(hits.groupBy("doc_id", "mark").agg(F.collect_set("hit").alias("hits")), "hits")
+    changed = chosen(texts, hits.select("doc_id")).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hits")
     changed = changed.mapInArrow(functools.partial(_removed, window=window), "doc_id long, mark long, n_words long, n_removed long, kept string")
     return scanned.select("doc_id", "mark", "n_words", "digest"), changed.dropDuplicates(["doc_id", "mark"])
 

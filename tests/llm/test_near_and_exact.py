@@ -145,6 +145,15 @@ def test_passages_of_other_lengths(spark, odd_rows):
         assert sorted(map(str, _passages(docs, n))) == sorted(map(str, brute_passages(rows, n)))
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """Two long texts and a short one under one id: pieces are read from, and removed in, the text they were found in."""
+    text = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    shared, other = text("s", 90), text("o", 80)
+    rows = [(1, f"{text('a', 20)} {shared}"), (1, f"{other} {text('b', 300)}"), (1, "a short one"), (2, f"{text('c', 7)} {shared} {text('d', 9)}"), (3, f"{text('e', 130)} {other}"), (3, text("f", 210)), (3, f"{shared} {text('g', 60)}"), (3, "short too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(str, _passages(docs))) == sorted(map(str, brute_passages(rows)))
+
+
 def test_without_repeats(odd, none):
     out = substring_dedup.without_repeats(odd)
     assert out.columns == odd.columns
