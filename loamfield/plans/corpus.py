@@ -228,7 +228,7 @@ SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM w), 6)
 """)
 def multilabel_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of entries counted once each; shares are of all entries."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 200)), " "), lambda x: x != ""))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != ""))
     out = themes.label_counts(table(spark, sf_dir, "documents"), words)
     return out.withColumn("pct", F.round("pct", 6))
 

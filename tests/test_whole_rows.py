@@ -19,3 +19,10 @@ def test_months_of_all_orders(spark, tmp_path):
     spark.createDataFrame(days, "o_custkey long, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     got = queries.queries()["entries_by_month_dense"](spark, str(tmp_path)).collect()
     assert sorted((r.o_orderpriority, r.label, r.n) for r in got) == [("A", "2024-01", 2), ("A", "2024-02", 0), ("A", "2024-03", 0), ("A", "2024-04", 1), ("B", "2023-12", 1)]
+
+
+def test_labels_of_whole_texts(spark, tmp_path):
+    sf, words = _docs(spark, tmp_path)
+    got = {r.label: (r.n, r.pct) for r in queries.queries()["multilabel_emotions"](spark, sf).collect()}
+    n = {w: sum(w in v for v in words.values()) for v in words.values() for w in v}
+    assert got == {w: (k, round(100 * k / len(words), 6)) for w, k in n.items()}
