@@ -384,11 +384,12 @@ WITH w AS (SELECT doc_id AS n_coded, lower(string_split(text, ' ')[1]) AS c FROM
 SELECT w.n_coded, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded)::BIGINT AS n_codes, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)::BIGINT AS n_recent FROM w LEFT JOIN g USING (n_coded)
 """)
 def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New first words by document, and those of the last fifty."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n_coded"), F.lower(F.split("text", " ")[0]).alias("c"))
-    births = words.groupBy("c").agg(F.min("n_coded").alias("n_coded")).groupBy("n_coded").agg(F.count("*").alias("k"))
-    rows = words.join(births, "n_coded", "left").select("n_coded", F.coalesce("k", F.lit(0)).cast("long").alias("n_births"), F.lit(1).alias("n_assigned"))
-    return coding.saturation_curve(rows, 50).drop("slope")
+    """Words first seen in each document, those of the last fifty, and words so far by words assigned."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n_coded"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("_words"))
+    births = docs.select("n_coded", F.explode("_words").alias("c")).groupBy("c").agg(F.min("n_coded").alias("n_coded")).groupBy("n_coded").agg(F.count("*").alias("k"))
+    assigned = docs.groupBy("n_coded").agg(F.sum(F.coalesce(F.size("_words"), F.lit(0))).alias("n_assigned"))
+    rows = assigned.join(births, "n_coded", "left").select("n_coded", F.coalesce("k", F.lit(0)).cast("long").alias("n_births"), "n_assigned")
+    return coding.saturation_curve(rows, 50)
 
 
 @query("""

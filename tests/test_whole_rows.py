@@ -26,3 +26,15 @@ def test_labels_of_whole_texts(spark, tmp_path):
     got = {r.label: (r.n, r.pct) for r in queries.queries()["multilabel_emotions"](spark, sf).collect()}
     n = {w: sum(w in v for v in words.values()) for v in words.values() for w in v}
     assert got == {w: (k, round(100 * k / len(words), 6)) for w, k in n.items()}
+
+
+def test_saturation_of_all_words(spark, tmp_path):
+    sf, words = _docs(spark, tmp_path)
+    got = [tuple(r) for r in queries.queries()["saturation_curve"](spark, sf).orderBy("n_coded").select("n_coded", "n_codes", "n_recent", "slope").collect()]
+    seen, born, assigned, want = set(), {}, 0, []
+    for d in sorted(words):
+        born[d] = len(set(words[d]) - seen)
+        seen |= set(words[d])
+        assigned += len(set(words[d]))
+        want.append((d, len(seen), sum(k for b, k in born.items() if b > d - 50), len(seen) / assigned))
+    assert got == want
