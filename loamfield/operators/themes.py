@@ -182,37 +182,42 @@ def extreme_quotes(rows: DataFrame, score: str, order: str, least_chars: int = 5
     return ranked.withColumn("position", position).where("position IS NOT NULL").drop("_i", "_n")
 
 
-def spread_quotes(rows: DataFrame, score: str, order: str, author: str, least_chars: int = 50, reach: int = 200) -> DataFrame:
+def spread_quotes(rows: DataFrame, score: str, order: str, author: str, least_chars: int = 50) -> DataFrame:
     """As :func:`extreme_quotes`, but preferring an author not yet quoted.
 
-    From the target position the nearest entries are looked at, the lower one first at each
-    distance, up to ``reach`` places on either side (three authors can block no more than
-    their own entries there); the target itself is taken if none will do.  Three windows of
-    candidates a theme are gathered, never a whole theme.
+    From the target position the nearest entry of such an author is taken, however far, the
+    lower one first at each distance; the target itself is taken if none will do.  An
+    aggregate by theme and author gives each author's nearest entry to each target; an entry
+    without author stands by itself.  Two authors at most are quoted before, so the three
+    nearest of a target are enough.
     """
     place = W.partitionBy("theme").orderBy(F.col(score).asc_nulls_last(), order)
     ranked = rows.where(F.char_length("std_text") > least_chars).withColumn("_i", F.row_number().over(place)).withColumn("_n", F.count("*").over(W.partitionBy("theme")))
-    middle = F.ceil(F.col("_n") / 2)
-    near = ranked.where((F.col("_i") <= reach + 1) | (F.abs(F.col("_i") - middle) <= reach) | (F.col("_i") >= F.col("_n") - reach))
+    named = F.nullif(F.col(author).cast("string"), F.lit(""))
+    ranked = ranked.select("theme", F.col("std_id").cast("string").alias("std_id"), F.col(author).cast("string").alias("author"), F.col(score).cast("double").alias("score"), "_i", "_n", F.when(named.isNull(), F.col("_i")).alias("_alone"))
+    targets = {"most_negative": F.lit(1), "median": F.ceil(F.col("_n") / 2), "most_positive": F.col("_n")}
+    nearest = [F.min(F.struct(F.abs(F.col("_i") - t).alias("far"), F.col("_i").alias("place"), "std_id", "score")).alias(label) for label, t in targets.items()]
+    by = ranked.groupBy("theme", "author", "_alone").agg(F.max("_n").alias("_n"), *nearest)
+    long = by.select("theme", "author", "_alone", "_n", F.explode(F.array(*(F.struct(F.lit(k).alias("position"), F.col(k).alias("at")) for k in targets))).alias("t"))
+    near = long.select("theme", "t.position", "t.at.*", "author", "_alone", "_n")
+    first = F.row_number().over(W.partitionBy("theme", "position").orderBy("far", "place"))
+    near = near.withColumn("_first", first).where(F.col("_first") <= len(targets))
     schema = "theme string, position string, std_id string, author string, score double, place int"
 
     def pick(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("_i")
-        by = {int(i): (s, a, v) for i, s, a, v in zip(pdf["_i"], pdf["std_id"], pdf[author], pdf[score], strict=True)}
         n, taken, authors, out = int(pdf["_n"].iloc[0]), set(), set(), []
-        targets = [("most_negative", 1)] + ([("median", -(-n // 2))] if n >= 3 else []) + ([("most_positive", n)] if n >= 2 else [])
-        for label, target in targets:
-            ring = [target] + [i for d in range(1, reach + 1) for i in (target - d, target + d)]
-            at = next((i for i in ring if i in by and i not in taken and by[i][1] not in authors), target)
-            taken.add(at)
-            if by[at][1]:
-                authors.add(by[at][1])
-            out.append((pdf["theme"].iloc[0], label, str(by[at][0]), by[at][1], by[at][2], at))
+        for label in ["most_negative"] + ["median"] * (n >= 3) + ["most_positive"] * (n >= 2):
+            ring = pdf[pdf["position"] == label].sort_values("_first").to_dict("records")
+            at = next((r for r in ring if r["place"] not in taken and r["author"] not in authors), ring[0])
+            taken.add(at["place"])
+            if at["author"]:
+                authors.add(at["author"])
+            out.append((at["theme"], label, at["std_id"], at["author"], at["score"], at["place"]))
         return pd.DataFrame(out, columns=["theme", "position", "std_id", "author", "score", "place"])
 
-    return near.select("theme", "std_id", F.col(author), F.col(score).cast("double"), "_i", "_n").groupBy("theme").applyInPandas(pick, schema)
+    return near.groupBy("theme").applyInPandas(pick, schema)
 
 
 def tagged_quotes(rows: DataFrame, score: str, order: str, metrics: Sequence[str], most: int = 280) -> DataFrame:

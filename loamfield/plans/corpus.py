@@ -265,7 +265,7 @@ def representative_quotes_minmedmax(spark: SparkSession, sf_dir: str) -> DataFra
 
 @query()
 def spread_aware_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, from different sources where there are some near by."""
+    """As above, from different sources where there are some."""
     return themes.spread_quotes(_theme_rows(spark, sf_dir), "sentiment_score", "std_id", "source")
 
 

@@ -72,6 +72,32 @@ def test_quotes_of_different_authors(spark):
     assert got == {"most_negative": "0", "median": "4", "most_positive": "6"}
 
 
+def test_quotes_of_authors_far_off(spark):
+    """However many entries of a quoted author stand next to a target, as a search over all rows says."""
+    n = 1500
+    themes_ = {
+        "far": ["a"] * n,
+        "alone": ["a"] * n,
+        "nobody": [None if i % 2 else "" for i in range(n)],
+        "single": ["a"] * n,
+        "mixed": ["a" if i < 900 else "b" if i < 1490 else "a" for i in range(n)],
+    }
+    themes_["far"][1200], themes_["far"][240] = "b", "c"
+    themes_["alone"][3], themes_["alone"][1100] = None, ""
+    rows = spark.createDataFrame([(t, f"{i:05d}", "x" * 60, float(i), a) for t, v in themes_.items() for i, a in enumerate(v)], "theme string, std_id string, std_text string, s double, author string")
+    got = {(r.theme, r.position): (int(r.std_id), r.place) for r in themes.spread_quotes(rows, "s", "std_id", "author").collect()}
+    want = {}
+    for t, authors in themes_.items():
+        taken, quoted = set(), set()
+        for label, target in (("most_negative", 0), ("median", n // 2 - 1), ("most_positive", n - 1)):
+            ring = [target, *(i for d in range(1, n) for i in (target - d, target + d) if 0 <= i < n)]
+            at = next((i for i in ring if i not in taken and (not authors[i] or authors[i] not in quoted)), target)
+            taken.add(at)
+            quoted |= {authors[at]} - {None, ""}
+            want[t, label] = (at, at + 1)
+    assert got == want
+
+
 def test_quote_steps(spark):
     source = "Hello world. This is the source text."
     rows = spark.createDataFrame(
