@@ -22,8 +22,10 @@ from .tails import shapiro_wilk
 
 NEAR_ZERO = math.sqrt(2.220446049250313e-16)
 MAD_SCALE = 1.4826
-#: Values that a normality test looks at, at most; of more, those with the smallest hashes of their rank.
+#: Values that a normality test looks at, at most; of more, those with the smallest hashes of value and number among equal values.
 SHAPIRO_MOST = 5000
+#: Numbers of one value that are made at a time.
+SHAPIRO_RUN = 1 << 16
 
 
 def cleaned(value: Column) -> Column:
@@ -211,7 +213,15 @@ def _gaps(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _shapiro_by(rows: DataFrame, by: list[str]) -> DataFrame:
-    chosen = rows.where("_x IS NOT NULL").withColumn("_rank", F.row_number().over(W.partitionBy(*by or [F.lit(0)]).orderBy(F.xxhash64("_x"), "_x"))).where(f"_rank <= {SHAPIRO_MOST}")
+    # A row is its value and its number among equal values; the numbers are made from counts, in runs, so that no task holds a value's rows.
+    counts = rows.where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_m"))
+    sizes = counts.groupBy(*by).agg(F.sum("_m").alias("_n"), F.count("*").alias("_kinds"))
+    runs = _same(counts, sizes, by).where("_kinds >= 3").select(*by, "_x", "_m", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / SHAPIRO_RUN))).alias("_run"))
+    number = F.sequence(F.col("_run") * SHAPIRO_RUN, F.least(F.col("_m"), (F.col("_run") + 1) * SHAPIRO_RUN) - 1)
+    each = runs.repartition(*by, "_x", "_run").select(*by, "_x", "_n", F.explode(number).alias("_k")).withColumn("_hash", F.xxhash64("_x", "_k"))
+    # Twice the rows wanted are ordered, of any number of rows.
+    few = each.where((F.col("_n") <= 2 * SHAPIRO_MOST) | (F.pmod("_hash", F.lit(1 << 40)).cast("double") * F.col("_n") < F.lit(float(2 * SHAPIRO_MOST << 40))))
+    chosen = few.withColumn("_rank", F.row_number().over(W.partitionBy(*by or [F.lit(0)]).orderBy("_hash", "_x", "_k"))).where(f"_rank <= {SHAPIRO_MOST}")
     return chosen.groupBy(*by).agg(F.collect_list("_x").alias("_v")).select(*by, _shapiro("_v").alias("shapiro_p"))
 
 

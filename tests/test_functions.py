@@ -66,6 +66,15 @@ def test_groups_may_be_null(spark):
     assert got == {None: (2, pytest.approx(1.4826)), "a": (1, 0.0)}
 
 
+def test_shapiro_samples_rows_not_values(spark):
+    """Each of ten values has more rows than the test takes: none of them fills the sample alone."""
+    rows = spark.range(60_000).selectExpr("CAST(id % 10 AS double) AS x", "IF(id % 3 = 0, 'a', NULL) AS g")
+    whole = metrics.described_values(rows, "x", ["shapiro_p"]).first()
+    assert whole["n_observed"] == 60_000 and whole["shapiro_p"] is not None and whole["shapiro_p"] < 0.05
+    by = {r["g"]: r["shapiro_p"] for r in metrics.described_values(rows, "x", ["shapiro_p"], ["g"]).collect()}
+    assert set(by) == {"a", None} and all(p is not None and p < 0.05 for p in by.values())
+
+
 def test_shapiro():
     w, p = tails.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float))
     assert (w, p) == (pytest.approx(0.7888, abs=1e-4), pytest.approx(0.0067, abs=1e-4))
