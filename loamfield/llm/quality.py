@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is the counts of its byte trigrams and word features, hashed into ``FEATURES`` bins,
-damped and weighted by rarity; a truncated singular value decomposition of the labelled
+A text is the counts of its words, its byte trigrams, the trigrams of its character kinds and
+its repetitions, hashed into ``FEATURES`` bins, damped and weighted by rarity; a truncated singular value decomposition of the labelled
 texts gives ``DIMENSIONS`` latent axes.  The labelled vectors, at most ``most_labelled`` of
 them, go to every executor; each document's cosine with all of them is computed exactly, in
 blocks, and the ``NEIGHBOURS`` nearest vote with their similarity as weight.
@@ -10,6 +10,7 @@ blocks, and the ``NEIGHBOURS`` nearest vote with their similarity as weight.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ from pyspark.sql import types as T
 from .hashing import U64, byte_view, mix, pieces, word_hashes
 from .shared import lean
 
-FEATURES, DIMENSIONS, NEIGHBOURS = 1024, 48, 25
+#: Bins of trigrams of character kinds, of repetitions, of words and of byte trigrams.
+KINDS, REPEATS, TERMS, GRAMS = 512, 32, 1024, 480
+FEATURES, DIMENSIONS, NEIGHBOURS = KINDS + REPEATS + TERMS + GRAMS, 48, 25
+_BLOCKS = [slice(a, a + n) for a, n in zip(np.cumsum([0, KINDS, REPEATS, TERMS]).tolist(), (KINDS, REPEATS, TERMS, GRAMS), strict=True)]
 #: Labelled rows that the model is made from, at most: those with the smallest hashes of their ids.
 MOST_LABELLED = 8192
 #: Similarities weigh by this power, so that near neighbours count for more.
@@ -36,30 +40,46 @@ _KIND[[0x20, 9, 10, 11, 12, 13]] = 4
 for _i, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _KIND[_c] = 5 + _i
 _KIND[0x0A] = 40
+_KIND_BIN = (mix(np.arange(64**3, dtype=U64)) % U64(KINDS)).astype(np.int64)
+
+#: Bytes with A-Z lower-cased and white space alike.
+_FOLDED = np.arange(256, dtype=U64)
+_FOLDED[ord("A") : ord("Z") + 1] += U64(32)
+_FOLDED[[9, 10, 11, 12, 13]] = 0x20
+
+
+def _trigrams(codes: np.ndarray, heads: np.ndarray, base: int) -> np.ndarray:
+    """Each code with the two before it in its text, as digits of ``base``."""
+    before = np.zeros((2, len(codes)), U64)
+    for last, of in ((codes, before[0]), (before[0], before[1])):
+        of[1:] = last[:-1]
+        of[heads] = 0  # what stands before a text is no part of it
+    return codes + before[0] * U64(base) + before[1] * U64(base * base)
 
 
 def features(texts: pa.Array) -> np.ndarray:
     """Weights of the features of each text before rarity: rows of FEATURES floats.
 
-    Half of the bins hold trigrams of character kinds (letters, capitals, digits, space and
-    each punctuation mark), half hold word facts: each word's length and how often in the
-    text it has come already, which repetition shifts.
+    The bins hold, one block after another: trigrams of character kinds (letters, capitals,
+    digits, space and each punctuation mark); how often each word has come already in the
+    text and whether it is the same word again, which repetition shifts; words, A-Z
+    lower-cased; and trigrams of bytes, A-Z lower-cased, which tell scripts without spaces.
     """
     raw, offsets = byte_view(texts)
-    n, half = len(offsets) - 1, FEATURES // 2
+    n = len(offsets) - 1
     out = np.zeros((n, FEATURES), np.float32)
     if not len(raw):
         return out
-    kind = _KIND[raw]
+    kinds, repeats, terms, grams = _BLOCKS
+
+    def count(block: slice, owner: np.ndarray, bins: np.ndarray) -> None:
+        size = block.stop - block.start
+        out[:, block] = np.bincount(owner * size + bins, minlength=n * size).reshape(n, size)
+
     heads = offsets[:-1][offsets[:-1] < len(raw)]
-    before = np.zeros((2, len(raw)), U64)
-    for last, of in ((kind, before[0]), (before[0], before[1])):
-        of[1:] = last[:-1]
-        of[heads] = 0  # what stands before a text is no part of it
-    code = kind + before[0] * U64(64) + before[1] * U64(4096)
-    table = (mix(np.arange(64**3, dtype=U64)) % U64(half)).astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(offsets))
-    out[:, :half] = np.bincount(row * half + table[code.astype(np.int64)], minlength=n * half).reshape(n, half)
+    count(kinds, row, _KIND_BIN[_trigrams(_KIND[raw], heads, 64).astype(np.int64)])
+    count(grams, row, (mix(_trigrams(_FOLDED[raw], heads, 256)) % U64(GRAMS)).astype(np.int64))
     words, _, at = word_hashes(raw, offsets, True)
     if len(words):
         owner = np.repeat(np.arange(n), np.diff(at))
@@ -73,18 +93,17 @@ def features(texts: pa.Array) -> np.ndarray:
         # The same word again at once, and the same step between words, are told apart from a common word.
         again = np.zeros(len(words), np.int64)
         again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-        fact = share * 2 + again
-        out[:, half:] = np.bincount(owner * half + fact, minlength=n * half).reshape(n, half)
+        count(repeats, owner, share * 2 + again)
+        count(terms, owner, (mix(words) % U64(TERMS)).astype(np.int64))
     return out
 
 
 def _damped(counts: np.ndarray) -> np.ndarray:
-    """Counts as shares of the text's own total in either half, on a square-root scale."""
-    half = FEATURES // 2
+    """Counts as shares of the text's own total in each block, on a square-root scale."""
     out = counts.copy()
-    for part in (out[:, :half], out[:, half:]):
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1)
-    return np.sqrt(out)
+    for block in _BLOCKS:
+        out[:, block] /= np.maximum(out[:, block].sum(axis=1, keepdims=True), 1)
+    return np.sqrt(out, out=out)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -96,7 +115,7 @@ def _counted(batches):
     for batch in batches:
         for part in pieces(batch, "text"):
             x = features(part.column("text"))
-            yield pa.record_batch({"label": part.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.record_batch({"label": part.column("label"), "x": pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,8 +130,9 @@ class Voters:
         x = _damped(counts)
         seen = np.count_nonzero(x, axis=0)
         self.rarity = np.where(seen > 0, np.log((1 + len(x)) / (1 + seen)) + 1, 0).astype(np.float32)
-        x = _unit(x * self.rarity)
-        values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
+        x *= self.rarity
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place, as the driver holds all rows
+        values, axes = np.linalg.eigh(x.T @ x)
         self.axes = axes[:, np.argsort(values)[::-1][: min(DIMENSIONS, len(x))]].astype(np.float32)
         self.vectors, self.labels = _unit(x @ self.axes).astype(np.float32), labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
@@ -141,15 +161,18 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labe
     """Voters from the labelled rows of ``docs`` that are not held out.
 
     Of these, the ``most_labelled`` rows with the smallest hash of their doc_id: a bounded
-    sample, 4 KB a row, which the driver gathers.  A document with several labels votes with
+    sample, 8 KB a row and compressed on the way, which the driver gathers.  A document with several labels votes with
     each; rows without doc_id or label don't vote.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     chosen = named.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_counted, "label int, x binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["label"]))
-    counts = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, FEATURES)
-    return Voters(counts, np.array([r["label"] for r in rows], np.float32))
+    chosen_labels = np.array([r["label"] for r in rows], np.float32)
+    counts = np.empty((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
+    return Voters(counts, chosen_labels)
 
 
 def scored(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -113,6 +113,17 @@ def test_quality_on_held_out_rows(spark):
     assert right / len(rows) > 0.97
 
 
+def test_quality_by_vocabulary(spark):
+    """Texts of one shape, told apart by their words alone."""
+    rng = np.random.default_rng(3)
+    good, bad = ([f"{''.join(chr(97 + c) for c in rng.integers(0, 26, 5))}" for _ in range(60)] for _ in range(2))
+    text = lambda words: " ".join(words[i] for i in rng.permutation(60)[:40])
+    docs = spark.createDataFrame([(i, text(good if i % 2 else bad), i % 2) for i in range(400)], "doc_id long, text string, quality int")
+    voters = quality.fitted(docs, docs)
+    rows = quality.scored(docs, voters).join(docs, "doc_id").where(quality.held_out(F.col("doc_id"))).select("score", "quality").collect()
+    assert len(rows) > 40 and all((r.score >= 0.5) == (r.quality == 1) for r in rows)
+
+
 def test_quality_of_awkward_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(8, 1), (9, 1), (30, 0), (None, 1), (3, None), (8, 0)], "doc_id long, quality int")
     voters = quality.fitted(odd, labels)
