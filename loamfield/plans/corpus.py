@@ -223,7 +223,7 @@ def subtheme_metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(substr(text, 1, 200)), ' '), lambda x: x <> '')) AS l FROM documents), e AS (SELECT unnest(l) AS label FROM w)
+WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS l FROM documents), e AS (SELECT unnest(l) AS label FROM w)
 SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM w), 6) AS pct FROM e GROUP BY 1
 """)
 def multilabel_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,8 +380,10 @@ def analytic_sample_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id AS n_coded, lower(string_split(text, ' ')[1]) AS c FROM documents), f AS (SELECT c, min(n_coded) AS b FROM w GROUP BY 1), g AS (SELECT b AS n_coded, count(*) AS k FROM f GROUP BY 1)
-SELECT w.n_coded, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded)::BIGINT AS n_codes, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)::BIGINT AS n_recent FROM w LEFT JOIN g USING (n_coded)
+WITH d AS (SELECT doc_id AS n_coded, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS l FROM documents),
+w AS (SELECT n_coded, sum(coalesce(len(l), 0)) AS k_assigned FROM d GROUP BY 1), f AS (SELECT c, min(n_coded) AS b FROM (SELECT n_coded, unnest(l) AS c FROM d) GROUP BY 1), g AS (SELECT b AS n_coded, count(*) AS k FROM f GROUP BY 1),
+r AS (SELECT w.n_coded, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded)::BIGINT AS n_codes, sum(coalesce(k, 0)) OVER (ORDER BY w.n_coded RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)::BIGINT AS n_recent, sum(k_assigned) OVER (ORDER BY w.n_coded) AS a FROM w LEFT JOIN g USING (n_coded))
+SELECT n_coded, n_codes, n_recent, round(n_codes / nullif(a, 0), 9)::DOUBLE AS slope FROM r
 """)
 def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words first seen in each document, those of the last fifty, and words so far by words assigned."""
@@ -389,7 +391,7 @@ def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     births = docs.select("n_coded", F.explode("_words").alias("c")).groupBy("c").agg(F.min("n_coded").alias("n_coded")).groupBy("n_coded").agg(F.count("*").alias("k"))
     assigned = docs.groupBy("n_coded").agg(F.sum(F.coalesce(F.size("_words"), F.lit(0))).alias("n_assigned"))
     rows = assigned.join(births, "n_coded", "left").select("n_coded", F.coalesce("k", F.lit(0)).cast("long").alias("n_births"), "n_assigned")
-    return coding.saturation_curve(rows, 50)
+    return coding.saturation_curve(rows, 50).withColumn("slope", F.round("slope", 9))
 
 
 @query("""

@@ -135,7 +135,7 @@ def span_and_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders WHERE o_custkey % 50 = 7 GROUP BY ALL),
+WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL),
 s AS (SELECT p, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM m GROUP BY p)
 SELECT p AS o_orderpriority, strftime(m, '%Y-%m') AS label, coalesce(n, 0)::BIGINT AS n FROM s LEFT JOIN m USING (p, m)
 """)

@@ -36,5 +36,5 @@ def test_saturation_of_all_words(spark, tmp_path):
         born[d] = len(set(words[d]) - seen)
         seen |= set(words[d])
         assigned += len(set(words[d]))
-        want.append((d, len(seen), sum(k for b, k in born.items() if b > d - 50), len(seen) / assigned))
+        want.append((d, len(seen), sum(k for b, k in born.items() if b > d - 50), round(len(seen) / assigned, 9)))
     assert got == want
