@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from loamfield.llm import exact_dedup, fm_index, ngram_jaccard, substring_dedup
 from loamfield.llm.components import components
 
@@ -94,11 +96,30 @@ def _groups(rows: list[tuple], last: bool) -> list[tuple]:
 def test_exact_copies(odd, odd_rows, none):
     rows = [(r[0], r[1]) for r in odd_rows]
     for keep in ("min", "max"):
-        got = [tuple(r) for r in exact_dedup.duplicates(odd, keep=keep, salts=3).collect()]
-        assert sorted(map(str, got)) == sorted(map(str, _groups(rows, keep == "max")))
+        for buckets in (None, 1, 9):
+            got = [tuple(r) for r in exact_dedup.duplicates(odd, keep=keep, buckets=buckets).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, _groups(rows, keep == "max")))
     assert exact_dedup.duplicates(none).count() == 0
 
 
+def test_hot_copies_lie_in_many_buckets(spark, monkeypatch):
+    """A text that half of the rows have, cut over buckets, and texts of one start; also where the digest tells nothing apart."""
+    start = "a long common start of many texts "
+    rows = [(i, "hot " * 30 if i % 2 else f"{start}{i % 7}" if i % 3 else f"own {i}") for i in range(600)] + [(None, "hot " * 30), (-(2**63), "own 6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for digest in (exact_dedup._digest, lambda text: F.lit(1).cast("long")):
+        monkeypatch.setattr(exact_dedup, "_digest", digest)
+        for keep in ("min", "max"):
+            got = [tuple(r) for r in exact_dedup.duplicates(docs, keep=keep, buckets=40).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, _groups(rows, keep == "max")))
+
+
+def test_neighbours_decide(odd, monkeypatch):
+    """Without the comparison of neighbours no copy is found: nothing else looks for them."""
+    monkeypatch.setattr(exact_dedup, "_leads", lambda text, order: F.lag(F.lit(1)).over(order).isNull() | F.lit(True))
+    assert {r.group_size for r in exact_dedup.duplicates(odd).collect()} == {1}
+
+
 def test_without_duplicates(odd, odd_rows, none):
     kept = exact_dedup.without_duplicates(odd, keep="max")
     assert kept.columns == odd.columns
