@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import MOST_SENT, written
+
 #: Words of a gram of phrases and of templates.
 PHRASE_GRAM, TEMPLATE_GRAM = 2, 4
 #: Diagonals of one template at most so far apart are one span; share of a template's grams that makes a span a find.
@@ -80,15 +82,19 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hashes(words: Column, k: int) -> Column:
-    """Hash of every k consecutive words; words that differ in A-Z only hash alike."""
+def _hashes(words: Column) -> Column:
+    """Hashes of every PHRASE_GRAM consecutive words, then of every TEMPLATE_GRAM; a word is hashed once, and words that differ in A-Z only hash alike.
+
+    A longer gram's hash is made from those of its two halves.
+    """
 
-    def rolling(each: Column) -> Column:
-        n = F.size(each)
-        places = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(*(F.element_at(each, i + j) for j in range(k))))
+    def rolling(each: Column, apart: int) -> Column:
+        last = F.size(each) - apart
+        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.element_at(each, i), F.element_at(each, i + apart)))
 
-    return _bound(F.transform(words, lambda w: F.xxhash64(F.lower(w))), rolling)
+    once = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+    return _bound(_bound(once, lambda each: rolling(each, 1)), lambda halves: F.concat(halves, rolling(halves, PHRASE_GRAM)))
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
@@ -96,34 +102,49 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     rows = [(t, j, g, x.gram, g.split()) for t, x in enumerate(templates) for j, g in enumerate(x.grams)]
     one = (F.struct(F.lit(t).alias("template"), F.lit(j).alias("place"), F.lit(g).alias("gram"), F.lit(k).alias("k"), F.array(*map(F.lit, w)).alias("words")) for t, j, g, k, w in rows)
     listed = spark.range(1).select(F.inline(F.array(*one)))
-    whole = {k: F.element_at(_hashes(F.col("words"), k), 1) for k in {t.gram for t in templates}}
-    hash_ = F.coalesce(*(F.when(F.col("k") == k, h) for k, h in whole.items()))
-    hashed = listed.select(hash_.alias("hash"), "template", "place", "gram", "k")
+    hashed = listed.select(F.element_at(_hashes(F.col("words")), -1).alias("hash"), "template", "place", "gram", "k")
     header = spark.range(1).select(F.lit(_HEADER).cast("long").alias("hash"), F.lit(-1).alias("template"), F.lit(0).alias("place"), F.lit("").alias("gram"), F.lit(0).alias("k"))
     return hashed.unionByName(header)
 
 
+def _verified(texts: DataFrame, votes: DataFrame) -> DataFrame:
+    """Headers, and of the votes of texts that have some those whose words are the gram's."""
+    voted = votes.where("template >= 0").groupBy("doc_id", "mark", "n_words").agg(F.collect_set(F.struct("template", "diagonal", "vote")).alias("votes"))
+    voted = written(voted.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "n_words", "votes"), "voted")
+    ids = voted.select("_id", "_mark")
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    few = texts.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, here, "left_semi").join(voted, here)
+    said = lambda words, v: _lower(F.concat_ws(" ", F.slice(words, v["vote"]["at"] + 1, v["vote"]["k"])))
+    right = _bound(words_of(F.col("text")), lambda words: F.filter(F.col("votes"), lambda v: said(words, v) == v["vote"]["gram"]))
+    found = few.select("doc_id", "mark", "n_words", F.explode(right).alias("v")).select("doc_id", "mark", "n_words", "v.template", "v.diagonal", F.col("v.vote.place").alias("place"))
+    header = votes.where("template < 0").select("doc_id", "mark", "n_words", "template", F.lit(None).cast("int").alias("diagonal"), "place")
+    return header.unionByName(found)
+
+
 def scanned(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row for each row of ``docs`` (doc_id, text, anything else).
 
     n_base counts the places of exact phrases, first_word and last_word are the smallest and
     largest of their starts (null without any), base_labels and labels the distinct labels
     found, sorted and comma-joined (empty without any), score the largest share of a
-    template's grams that one span has.  Null and empty texts have no words.  Rows that repeat
+    template's grams that one span has.  Null and empty texts have no words; a very long one
+    costs in proportion to its length.  Rows that repeat
     doc_id and text are returned as often.
     """
     if any(len(t.grams) > 62 or not t.grams for t in templates):
         raise ValueError("a template has 1 to 62 grams")
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    every = F.concat(F.array(F.lit(_HEADER).cast("long")), _hashes(F.col("words"), PHRASE_GRAM), _hashes(F.col("words"), TEMPLATE_GRAM))
-    placed = rows.select("doc_id", "mark", "n_words", "words", F.posexplode(every).alias("i", "hash"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    rows = texts.select("doc_id", "mark", words_of(F.col("text")).alias("words")).select("doc_id", "mark", F.size("words").alias("n_words"), "words")
+    every = F.concat(F.array(F.lit(_HEADER).cast("long")), _hashes(F.col("words")))
+    placed = rows.select("doc_id", "mark", "n_words", F.posexplode(every).alias("i", "hash"))  # places only: a text of a million words is not copied for each
     twos = F.greatest(F.col("n_words") - (PHRASE_GRAM - 1), F.lit(0))
     k = F.when(F.col("i") == 0, 0).when(F.col("i") <= twos, PHRASE_GRAM).otherwise(TEMPLATE_GRAM)
     at = F.when(F.col("k") == PHRASE_GRAM, F.col("i") - 1).otherwise(F.col("i") - 1 - twos)
     votes = placed.join(F.broadcast(template_grams(spark, templates)), "hash").where(k == F.col("k"))
-    same = _lower(F.concat_ws(" ", F.slice("words", F.greatest(at, F.lit(0)) + 1, F.greatest(F.col("k"), F.lit(1))))) == F.col("gram")
-    votes = votes.where((F.col("template") < 0) | same).select("doc_id", "mark", F.col("n_words").cast("long").alias("n_words"), "template", F.when(F.col("template") >= 0, at - F.col("place")).alias("diagonal"), "place")
+    votes = votes.select("doc_id", "mark", F.col("n_words").cast("long").alias("n_words"), "template", F.struct(at.alias("at"), "place", "k", "gram").alias("vote"))
+    votes = written(votes, "votes").select("*", (F.col("vote.at") - F.col("vote.place")).alias("diagonal"), F.col("vote.place").alias("place"))
+    votes = _verified(texts, votes)
     by = ["doc_id", "mark", "n_words"]
     diagonals = votes.groupBy(*by, "template", "diagonal").agg(F.expr("bit_or(shiftleft(1L, place))").alias("places"), F.count("*").alias("rows"))
     order = W.partitionBy(*by, "template").orderBy("diagonal")

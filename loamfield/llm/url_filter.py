@@ -81,13 +81,16 @@ def path_of(url: Column) -> Column:
 
 
 def _sum(weights: Column, part: str, value: Column, n: int) -> Column:
-    def over(text: Column) -> Column:
-        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        digest = lambda i: F.substring(F.md5(F.concat(F.lit(part), F.substr(text, i, F.lit(n))).cast("binary")), 1, 3)
+    """Sum of the weights of all ``n``-grams; the text is taken apart into an array of characters once, so time is linear in its length."""
+
+    def over(chars: Column) -> Column:
+        last = F.size(chars) - (n - 1)
+        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        digest = lambda i: F.substring(F.md5(F.concat(F.lit(part), *(F.element_at(chars, i + j) for j in range(n))).cast("binary")), 1, 3)
         return F.aggregate(places, F.lit(0).cast("long"), lambda total, i: total + F.element_at(weights, F.conv(digest(i), 16, 10).cast("int") + 1))
 
-    # As a lambda's argument the text is computed once, not for every gram.
-    return F.element_at(F.transform(F.array(value), over), 1)
+    # As a lambda's argument the array is made once, not for every gram.
+    return F.element_at(F.transform(F.array(F.split(value, "")), over), 1)
 
 
 def logit(host: Column, path: Column) -> Column:

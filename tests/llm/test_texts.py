@@ -81,9 +81,29 @@ def test_model_scores_as_trained(spark):
         assert got[i] == bias + sum(weights[b] for b in url_filter._bins(h, p)) and (got[i] > 0) == (label == 1)
 
 
+def test_long_urls(spark):
+    """A URL of half a million characters costs in proportion to its length, and its logit is that of plain arithmetic."""
+    path = "".join(f"/{i % 9973}é" for i in range(90_000))
+    table = spark.createDataFrame([(1, f"http://example.org{path}"), (2, "http://éx😀.org/a😀b")], "page_id long, url string")
+    bias, weights = url_filter.trained()
+    got = {r.page_id: r for r in url_filter.judged(table, []).collect()}
+    assert got[1].logit == bias + sum(weights[b] for b in url_filter._bins("example.org", path))
+    assert got[2].logit == bias + sum(weights[b] for b in url_filter._bins("éx😀.org", "/a😀b"))
+
+
 # --- licenses
 
 
+def test_licenses_in_a_long_text(spark):
+    """A text of some two megabytes, with the same phrase thousands of times."""
+    words = ["cc", "by"] + ["filler"] * 98
+    docs = spark.createDataFrame([(1, " ".join(words * 4000)), (2, " ".join(["all rights"] * 100_000) + " Reserved")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scanned(docs).collect()}
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (400_000, 4000, 0, 399_900, "cc-by")
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels) == (200_001, 1, 199_998, "reserved")
+
+
+
 def test_license_spans(spark, odd, odd_rows, none):
     got = {(r.doc_id, r.n_words): r for r in license_scan.scanned(odd).collect()}
     assert license_scan.scanned(odd).count() == len(odd_rows)
