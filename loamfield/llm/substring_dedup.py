@@ -1,7 +1,7 @@
 """Passages that repeat across documents, found with a compressed FM-index per shard.
 
 A passage is a window of ``window`` consecutive words that also starts in a document with a
-smaller id.  Every window has an anchor, the smallest hash among its ``ANCHOR``-word grams, so
+smaller id.  Every window has an anchor, the smallest hash among its 20-word grams, so
 equal windows have equal anchors; runs of windows with one anchor form a piece of some
 66 words.  Pieces whose anchor occurs in one document only cannot repeat and are never moved.
 The others are dealt to shards by anchor, equal pieces once.  A shard indexes its pieces
@@ -11,8 +11,13 @@ back to every document that has the piece.
 
 An anchor that more than ``CROWD`` different pieces share, such as a line that a third of the
 documents have in other surroundings, would make one shard as large as the corpus.  Pieces of
-such anchors are taken apart into their windows, whose hashes are pre-aggregated like any
-key: the same answer, by a path that no group's size can crowd.
+such anchors are dealt anew by anchors of longer grams, and those still crowded by whole
+windows, of which no two pieces of a shard differ: pieces that no other document shares drop
+out at each step, the others are indexed and searched like any other, and what is found for a
+part is found for its piece.
+
+Words are compared by hashes: two windows are equal when the 32-bit codes of all their words
+are, and the 64-bit hash of their anchor.
 """
 
 from __future__ import annotations
@@ -30,19 +35,24 @@ from .fm_index import FMIndex
 from .hashing import U64, byte_view, gram_hashes, inverse, mix, pieces, powers, word_hashes
 from .shared import chosen, lean, written
 
-ANCHOR = 20
+#: Words of the grams that anchors are chosen from, step by step; the last step takes whole windows.
+ANCHORS = (20, 40)
 #: Windows of one piece at most; a longer run of windows with one anchor is several pieces.
 RUN = 64
 #: Words after which a shard's task builds an index of what it has read; no anchor is divided.
 INDEX_WORDS = 1 << 19
-#: Different pieces of one anchor that a shard takes; the windows of more are compared by their hashes.
+#: Different pieces of one anchor that a shard takes; more are dealt anew by longer grams.
 CROWD = 256
 _SPAN = 0xD6E8FEB86659FD93
 
 
-def _pieces_of(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor and content hash of every piece of the texts with word offsets ``at``."""
-    k = min(ANCHOR, window)
+def _grams(window: int) -> list[int]:
+    """Lengths of the grams of anchors, step by step."""
+    return [k for k in ANCHORS if k < window] + [window]
+
+
+def _pieces_of(words: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor and content hash of every piece of the texts with word offsets ``at``; anchors are of ``k`` words."""
     none = np.zeros(0, np.int64)
     if len(words) < window:
         return none, none, none.view(U64), none.view(U64)
@@ -81,7 +91,7 @@ def _scanned(batches, window: int):
         for part in pieces(batch, "text"):
             raw, offsets = byte_view(part.column("text"))
             words, _, at = word_hashes(raw, offsets)
-            first, runs, anchors, contents = _pieces_of(words, at, window)
+            first, runs, anchors, contents = _pieces_of(words, at, window, _grams(window)[0])
             data, bounds = raw.tobytes(), offsets.tolist()
             digests = [hashlib.sha256(b" ".join(data[a:b].split())).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             lists = pa.array(np.searchsorted(first, at).astype(np.int32))
@@ -101,26 +111,45 @@ def _scanned(batches, window: int):
 
 @lean
 def _contents(batches, window: int):
-    """Of the pieces that a document owns the words, as the low halves of their hashes; of crowded anchors the hashes of windows instead."""
+    """The words of the pieces that a document owns, as the low halves of their hashes."""
     for batch in batches:
         for part in pieces(batch, "text"):
             raw, offsets = byte_view(part.column("text"))
             words, _, at = word_hashes(raw, offsets)
             codes = (words & U64(0xFFFFFFFF)).astype(np.uint32)
-            rows: dict[str, list] = {"anchor": [], "piece": [], "owner": [], "words": [], "windows": []}
+            rows: dict[str, list] = {"anchor": [], "piece": [], "owner": [], "words": []}
             for i, (doc, owned) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("owned").to_pylist(), strict=True)):
-                low, mine = codes[at[i] : at[i + 1]], words[at[i] : at[i + 1]]
+                mine = codes[at[i] : at[i + 1]]
                 for p in owned:
-                    inside = slice(p["start"], p["start"] + p["runs"] + window - 1)
                     rows["anchor"].append(p["anchor"])
                     rows["piece"].append(p["piece"])
                     rows["owner"].append(doc)
-                    rows["words"].append(None if p["crowded"] else low[inside].tobytes())
-                    rows["windows"].append(gram_hashes(mine[inside], window).view(np.int64) if p["crowded"] else None)
-            kinds = {"anchor": pa.int64(), "piece": pa.int64(), "owner": pa.int64(), "words": pa.binary(), "windows": pa.list_(pa.int64())}
+                    rows["words"].append(mine[p["start"] : p["start"] + p["runs"] + window - 1].tobytes())
+            kinds = {"anchor": pa.int64(), "piece": pa.int64(), "owner": pa.int64(), "words": pa.binary()}
             yield pa.record_batch({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
 
+@lean
+def _divided(batches, window: int, k: int):
+    """Pieces by anchors of ``k`` words, with the piece that each is a part of and its first window there."""
+    for batch in batches:
+        texts = [np.frombuffer(w.as_buffer(), np.uint32) for w in batch.column("words")]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        codes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        first, runs, anchors, contents = _pieces_of(mix(codes.astype(U64)), at, window, k)
+        of = np.searchsorted(at, first, "right") - 1
+        yield pa.record_batch(
+            {
+                "anchor": pa.array(anchors.view(np.int64)),
+                "piece": pa.array(contents.view(np.int64)),
+                "parent": batch.column("piece").take(pa.array(of)),
+                "offset": pa.array((first - at[of]).astype(np.int32)),
+                "owner": batch.column("owner").take(pa.array(of)),
+                "words": pa.array([codes[a : a + n + window - 1].tobytes() for a, n in zip(first.tolist(), runs.tolist(), strict=True)], pa.binary()),
+            }
+        )
+
+
 def _reported(piece: list[int], owner: list[int], words: list[bytes], window: int) -> pa.RecordBatch:
     """Intervals of windows of each piece with the smallest document that holds them, from one index."""
     lengths = np.array([len(w) // 4 for w in words], np.int64)
@@ -171,6 +200,35 @@ def _removed(batches, window: int):
             yield pa.record_batch({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "n_words": pa.array([len((t or "").encode().split()) for t in texts], pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(left, pa.string())})
 
 
+def _found(contents: DataFrame, window: int, grams: list[int]) -> DataFrame:
+    """Intervals (piece, from, to, least) of the windows of ``contents`` (anchor, piece, owner, words), each piece once."""
+
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.select("anchor", "piece", "owner", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
+
+    if not grams:
+        return searched(contents)
+    crowds = written(contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"), "crowds")
+    if crowds.isEmpty():
+        return searched(contents)
+    crowded = contents.join(crowds, "anchor", "left_semi")
+    # Each window of a crowded piece is its owner's; its parts tell which are in earlier documents too.
+    owns = crowded.select("piece", F.lit(0).alias("from"), (F.octet_length("words") / 4 - (window - 1)).cast("int").alias("to"), F.col("owner").alias("least"))
+    parts = crowded.select("piece", "owner", "words").mapInArrow(functools.partial(_divided, window=window, k=grams[0]), "anchor long, piece long, parent long, offset int, owner long, words binary")
+    parts = written(parts, "parts")
+    shared = parts.groupBy("anchor").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("anchor")
+    parts = written(parts.join(shared, "anchor", "left_semi"), "parts")
+    firsts = parts.groupBy("anchor", "piece").agg(F.min(F.struct("owner", "words")).alias("o")).select("anchor", "piece", "o.owner", "o.words")
+    inner = _found(written(firsts, "contents"), window, grams[1:])
+    back = parts.select("piece", "parent", "offset", "owner").join(inner, "piece").where("least < owner")
+    back = back.select(F.col("parent").alias("piece"), (F.col("offset") + F.col("from")).alias("from"), (F.col("offset") + F.col("to")).alias("to"), "least")
+    # Intervals of a piece that touch and have one answer are one again, before documents meet them.
+    order = W.partitionBy("piece", "least").orderBy("from", "to")
+    islands = back.withColumn("island", F.col("from") > F.coalesce(F.lag("to").over(order), F.lit(-1))).withColumn("island", F.sum(F.col("island").cast("int")).over(order))
+    joined = islands.groupBy("piece", "least", "island").agg(F.min("from").alias("from"), F.max("to").alias("to")).select("piece", "from", "to", "least")
+    return searched(contents.join(crowds, "anchor", "left_anti")).unionByName(owns).unionByName(joined)
+
+
 def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     """Two tables of ``docs`` (doc_id, text, anything else).
 
@@ -200,21 +258,11 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Dat
     members = written(each.join(shared, "anchor", "left_semi"), "members")
     owners = members.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "mark", "start", "runs")).alias("o"))
     owners = written(owners.select("o.doc_id", "o.mark", "anchor", "piece", "o.start", "o.runs"), "owners")
-    crowds = written(owners.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds")
-    marked = owners.join(crowds, "anchor", "left").select("doc_id", "mark", F.struct("anchor", "piece", "start", "runs", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("p"))
-    owned = written(marked.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("owned")), "owned")
+    owned = owners.select("doc_id", "mark", F.struct("anchor", "piece", "start", "runs").alias("p"))
+    owned = written(owned.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("owned")), "owned")
     own = chosen(texts, owned.select("doc_id")).join(owned, ["doc_id", "mark"])
-    contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary, windows array<long>")
-    contents = written(contents, "contents")
-    sharded = contents.where("words IS NOT NULL").drop("windows").repartition("anchor").sortWithinPartitions("anchor")
-    found = sharded.mapInArrow(functools.partial(_searched, window=window), "piece long, `from` int, `to` int, least long")
-    each_window = contents.where("windows IS NOT NULL").select("piece", "owner", F.posexplode("windows").alias("from", "hash"))
-    least = written(each_window.groupBy("hash").agg(F.min("owner").alias("least")), "windows")
-    # Windows of a piece in a row with one answer become an interval again, before documents meet them.
-    answered = each_window.join(least, "hash").select("piece", "from", "least")
-    island = F.col("from") - F.row_number().over(W.partitionBy("piece", "least").orderBy("from"))
-    runs = answered.withColumn("island", island).groupBy("piece", "least", "island").agg(F.min("from").alias("from"), (F.max("from") + 1).alias("to"))
-    found = found.unionByName(runs.select("piece", "from", "to", "least"))
+    contents = own.select("doc_id", "text", "owned").mapInArrow(functools.partial(_contents, window=window), "anchor long, piece long, owner long, words binary")
+    found = _found(written(contents, "contents"), window, _grams(window)[1:])
     hits = (
         members.select("doc_id", "mark", "piece", "start")
         .join(found, "piece")

@@ -204,9 +204,25 @@ def test_index_reports_smallest_owner():
 
 
 def test_crowded_anchors(spark, odd_rows, monkeypatch):
-    """Pieces of anchors that many share are compared by their windows, with the same result."""
+    """Pieces of anchors that many share are dealt by longer grams and then by windows, with the same result."""
     rows = [(r[0], r[1]) for r in odd_rows[:40] if r[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for crowd in (0, 1, 3):
         monkeypatch.setattr(substring_dedup, "CROWD", crowd)
         assert sorted(map(str, _passages(docs))) == sorted(map(str, brute_passages(rows)))
+
+
+def test_a_line_in_many_surroundings(spark, monkeypatch):
+    """A line of 60 words that every document has, between words of its own or of a neighbour's: most pieces differ, some windows don't."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(50)}"
+    line = " ".join(f"line{i}" for i in range(60))
+    sides = [(" ".join(word() for _ in range(40)), " ".join(word() for _ in range(40))) for _ in range(30)]
+    rows = [(i, f"{sides[i % 30][0]} {line} {sides[(i * 7) % 30][1]}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, brute_passages(rows)))
+    for crowd in (2, 10, 256):
+        monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+        assert sorted(map(str, _passages(docs))) == want
