@@ -1,15 +1,16 @@
 """Near-duplicate texts: an exact Jaccard join on distinct word n-grams.
 
 Method: token-combination prefixes.  The tokens of a set are its n-gram hashes, in one total
-order for the corpus: rare before frequent (classes of a count sketch over all documents),
-then by hash.  Sets similar enough share a token among their first ``p`` tokens, and share
-``k`` tokens among their first ``p + k - 1``.  So a set is indexed under each rare token of
-its prefix; short sets, in which one frequent token says little, are indexed under
-combinations of two frequent tokens of the prefix extended by one.  A combination index
-grows with the square of the prefix, so sets of ``SHORT`` tokens or more are indexed under
-single tokens throughout; the sets of the sizes between, which may match either kind, are
-indexed both ways, and no pair is lost.  Each entry keeps its position, and position and size
-bound the overlap before a pair is formed.
+order for the corpus: rare ones by class (of a count sketch over all documents) and hash, then
+frequent ones by hash.  Sets similar enough share a token among their first ``p`` tokens.  If
+the first token they share is rare, it is in the index: a set is listed under each rare token
+of its prefix.  Else all they share is frequent, which only sets of mostly frequent tokens can
+do; those are listed under combinations of two frequent tokens that follow each other in the
+order.  Of ``o`` shared tokens, each token that is not shared parts at most one of the
+``o - 1`` neighbours, so enough combinations are shared for a prefix of them, about two fifths
+of the set at a similarity of 0.8: the index grows in proportion to a set of any size.  Each
+entry keeps how many tokens may be shared from there on, and that and the size bound the
+overlap before a pair is formed.
 
 A list of the index may belong to thousands of copies.  Equal sets are one entry.  Of
 unequal ones, every member is verified against the list's hub first; the components found so
@@ -33,8 +34,6 @@ from .shared import chosen, lean, written
 
 #: Counters of the sketch and the count from which a token is called frequent.
 SKETCH_BITS, FREQUENT = 22, 256
-#: Sets of at least so many tokens are indexed under single tokens only.
-SHORT = 64
 _SLICE = 1 << 16
 
 
@@ -101,23 +100,34 @@ def least_overlap(both: int, percent: int) -> int:
     return -(-percent * both // (100 + percent))
 
 
+def least_shared(n: int, percent: int) -> int:
+    """The fewest tokens that a set of ``n`` shares with any set of that similarity."""
+    return (percent * n + 99) // 100
+
+
+def least_combined(n: int, percent: int) -> int:
+    """The fewest neighbouring pairs that a set of ``n`` tokens shares with any set of that similarity, if all they share is frequent."""
+    o = least_shared(n, percent)
+    return o - 1 - o * (100 - percent) // percent
+
+
 def _entries(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one sorted set and the positions that bound what may overlap from there."""
+    """Index keys of one sorted set, and after how many of its tokens in order what is shared begins at the earliest."""
     n = len(s)
-    p = prefix_length(n, percent)
     c = classes[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-    m = min(n, p + 1)
-    order = np.argsort((c.astype(U64) << U64(56)) | (s >> U64(8)), kind="stable")[:m]
-    tokens, frequent = s[order], c[order] >= 2 * np.log2(FREQUENT)
-    long, short = 5 * n >= 4 * SHORT or percent < 80, 4 * n < 5 * SHORT and percent >= 80
-    at = np.arange(m)
-    single = (at < p) & (~frequent | long)
-    keys, places = [tokens[single]], [at[single]]
-    if short and frequent.sum() > 1:
-        f = np.flatnonzero(frequent)
-        i, j = np.triu_indices(len(f), 1)
-        keys.append(mix(mix(tokens[f[i]]) + tokens[f[j]] * U64(3)))
-        places.append(f[j] - 1)
+    often = c >= 2 * np.log2(FREQUENT)
+    order = np.argsort((np.where(often, 255, c).astype(U64) << U64(56)) | (s >> U64(8)), kind="stable")
+    rare = n - int(often.sum())
+    need, p = least_shared(n, percent), prefix_length(n, percent)
+    # Partners too small, or a similarity too low, for a combination to be shared for certain: single tokens, whatever their class.
+    alone = least_combined(need, percent) < 1
+    at = np.arange(p if alone else min(p, rare))
+    keys, places = [s[order[at]]], [at]
+    if n - rare >= max(need, 2) and least_combined(100 * n // percent, percent) >= 1:
+        g = s[often]
+        combined = np.sort(mix(mix(g[:-1]) + g[1:] * U64(3)))[: len(g) - max(0, least_combined(n, percent))]
+        keys.append(combined)
+        places.append(np.full(len(combined), rare))
     return np.concatenate(keys), np.concatenate(places)
 
 

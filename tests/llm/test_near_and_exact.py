@@ -48,23 +48,42 @@ def test_components_of_documents(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in ngram_jaccard.similarity_components(docs).collect()} == want
 
 
-def test_frequent_tokens_of_short_sets(spark, monkeypatch):
-    """With every token frequent, short sets go by combinations alone; sets of the sizes between by both."""
-    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1)
-    monkeypatch.setattr(ngram_jaccard, "SHORT", 30)
+def test_frequent_tokens(spark, monkeypatch):
+    """With every token frequent, or every other one, sets go by combinations; sizes from 1 to some hundred, several similarities."""
     import random
 
     rng = random.Random(3)
     rows = []
-    for g in range(12):
-        base = [f"g{g}w{i}" for i in range(rng.randint(6, 60))]
+    for g in range(14):
+        base = [f"g{g}w{i}" for i in range(rng.randint(5, 70) if g < 12 else 160)]
         for _ in range(9):
             w = list(base)
             for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(len(w))] = f"x{rng.randint(0, 5)}"
             rows.append((len(rows), " ".join(w[: rng.randint(len(w) - 3, len(w))])))
-    got = ngram_jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent, percents in ((1, (80, 90, 62, 45)), (8, (80, 55))):
+        monkeypatch.setattr(ngram_jaccard, "FREQUENT", frequent)
+        for percent in percents:
+            got = ngram_jaccard.similarity_components(docs, percent=percent).collect()
+            assert {r.doc_id: r.component_id for r in got} == brute_components(rows, percent)
+
+
+def test_entries_of_similar_sets_meet():
+    """Of random similar sets over a small alphabet with any tokens frequent, some key is in both, and its bound allows the overlap."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for trial in range(3000):
+        classes = rng.choice(np.array([0, 4, 16, 20], np.uint8), 1 << ngram_jaccard.SKETCH_BITS, p=[0.02, 0.03, 0.45, 0.5] if trial % 2 else [0.3, 0.2, 0.3, 0.2]) if trial % 100 < 2 else classes
+        n, percent = int(rng.integers(1, 60)), int(rng.choice([40, 51, 60, 80, 95]))
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        t = np.unique(np.concatenate([s[rng.random(len(s)) > rng.choice([0, 0.1, 0.2])], rng.integers(0, 2**63, rng.integers(0, max(1, n // 4) + 1)).astype(np.uint64) * np.uint64(2)]))
+        both = len(np.intersect1d(s, t))
+        if len(t) and 100 * both >= percent * (len(s) + len(t) - both):
+            (k1, a1), (k2, a2) = (ngram_jaccard._entries(x, classes, percent) for x in (s, t))
+            first, second = dict(zip(k1.tolist(), a1.tolist(), strict=True)), dict(zip(k2.tolist(), a2.tolist(), strict=True))
+            assert any(min(len(s) - first[k], len(t) - second[k]) >= ngram_jaccard.least_overlap(len(s) + len(t), percent) for k in first.keys() & second.keys())
 
 
 def test_one_of_each_keeps_columns(odd, none):
