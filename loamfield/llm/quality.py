@@ -30,6 +30,10 @@ _BLOCKS = [slice(a, a + n) for a, n in zip(np.cumsum([0, KINDS, REPEATS, TERMS])
 MOST_LABELLED = 8192
 #: Similarities weigh by this power, so that near neighbours count for more.
 SHARPNESS = 8
+#: Similarities are told apart in steps of this fraction: far above the rounding of sums, far below what matters.
+STEPS = 1 << 30
+#: Texts whose similarities with all voters are held at a time.
+BLOCK = 128
 
 _KIND = np.zeros(256, np.uint64)
 _KIND[ord("a") : ord("z") + 1] = 1
@@ -133,21 +137,30 @@ class Voters:
         x *= self.rarity
         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place, as the driver holds all rows
         values, axes = np.linalg.eigh(x.T @ x)
-        self.axes = axes[:, np.argsort(values)[::-1][: min(DIMENSIONS, len(x))]].astype(np.float32)
-        self.vectors, self.labels = _unit(x @ self.axes).astype(np.float32), labels.astype(np.float32)
+        self.axes = axes[:, np.argsort(values)[::-1][: min(DIMENSIONS, len(x))]].astype(np.float64)
+        self.vectors, self.labels = np.concatenate([_unit(x[i : i + 512] @ self.axes) for i in range(0, len(x), 512)] or [np.zeros((0, self.axes.shape[1]))]), labels.astype(np.float64)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
+    def similarities(self, counts: np.ndarray) -> np.ndarray:
+        """Cosines of texts and voters in the latent space."""
+        return _unit(_unit(_damped(counts).astype(np.float64) * self.rarity) @ self.axes) @ self.vectors.T
+
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Weighted share of label 1 among the nearest neighbours; the share among all voters for a text without features."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        x = _unit((_unit(_damped(counts) * self.rarity) @ self.axes).astype(np.float32))
-        near = x @ self.vectors.T
+        voted = [self._voted(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)]
+        return np.where(counts.sum(axis=1) > 0, np.clip(np.concatenate([*voted, np.zeros(0)]), 0, 1), self.prior)
+
+    def _voted(self, counts: np.ndarray) -> np.ndarray:
+        near = self.similarities(counts)
         k = min(NEIGHBOURS, near.shape[1])
-        which = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, which, 1), 0).astype(np.float64) ** SHARPNESS + 1e-12
-        out = (weight * self.labels[which]).sum(axis=1) / weight.sum(axis=1)
-        return np.where(counts.sum(axis=1) > 0, np.clip(out, 0, 1), self.prior)
+        # Similarity and place in one number, so that of equally near voters the first ones vote, however the texts are sliced.
+        steps = np.rint(near * STEPS).astype(np.int64)
+        ranked = np.arange(len(self.labels)) - steps * len(self.labels)
+        which = np.sort(np.argpartition(ranked, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.take_along_axis(steps, which, 1) / STEPS, 0) ** SHARPNESS + 1e-12
+        return (weight * self.labels[which]).sum(axis=1) / weight.sum(axis=1)
 
 
 @lean
@@ -179,7 +192,8 @@ def scored(docs: DataFrame, voters: Voters) -> DataFrame:
     """(doc_id, mark, score) for each row of ``docs`` (doc_id, text, anything else); mark is a hash of the text.
 
     A null, empty or blank text has the voters' mean label; without voters every score is
-    0.5.  Rows that repeat a doc_id are scored each by its own text.
+    0.5.  Of voters that are equally near the first vote, in the order of their own features
+    and labels, so a score depends on the text alone.  A text counts whole, however long.  Rows that repeat a doc_id are scored each by its own text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(voters)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")

@@ -144,6 +144,40 @@ def test_quality_by_vocabulary(spark):
     assert len(rows) > 40 and all((r.score >= 0.5) == (r.quality == 1) for r in rows)
 
 
+def test_every_score_is_the_plain_vote(spark, sf_dir, odd, monkeypatch):
+    """Each text against each voter one by one, ties by place; on documents, on awkward rows, and with a block of one text."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    voters = quality.fitted(docs, labels)
+    for table in (docs, odd):
+        rows = table.select("doc_id", "text", F.xxhash64("text").alias("mark")).collect()
+        want = {}
+        for r in rows:
+            counts = quality.features(pa.array([r.text], pa.string()))[0].astype(float)
+            if not counts.any():
+                want[r.doc_id, r.mark] = voters.prior
+                continue
+            x = np.concatenate([np.sqrt(counts[b] / max(1, counts[b].sum())) for b in quality._BLOCKS]) * voters.rarity
+            x = (x / np.linalg.norm(x)) @ voters.axes
+            near = [round(float(np.dot(x / np.linalg.norm(x), v)) * quality.STEPS) / quality.STEPS for v in voters.vectors]
+            best = sorted(range(len(near)), key=lambda i: (-near[i], i))[: quality.NEIGHBOURS]
+            weights = [max(near[i], 0) ** quality.SHARPNESS + 1e-12 for i in best]
+            want[r.doc_id, r.mark] = sum(w * voters.labels[i] for w, i in zip(weights, best, strict=True)) / sum(weights)
+        got = {(r.doc_id, r.mark): r.score for r in quality.scored(table, voters).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-4 for k, v in want.items())
+    texts = pa.array([r.text for r in docs.limit(50).collect()], pa.string())
+    whole = voters.scores(quality.features(texts))
+    monkeypatch.setattr(quality, "BLOCK", 1)
+    assert np.allclose(whole, voters.scores(quality.features(texts)), atol=1e-7)
+
+
+def test_equally_near_voters_vote_in_their_order():
+    """Forty equal texts with labels in turn: the first ones vote, whatever else is scored with them."""
+    counts = np.repeat(quality.features(pa.array(["one two three four"])), 40, axis=0)
+    voters = quality.Voters(counts, np.array([1.0] * 10 + [0.0] * 30))
+    assert np.allclose(voters.scores(counts[:1]), 10 / quality.NEIGHBOURS) and np.allclose(voters.scores(counts), 10 / quality.NEIGHBOURS)
+
+
 def test_quality_of_awkward_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(8, 1), (9, 1), (30, 0), (None, 1), (3, None), (8, 0)], "doc_id long, quality int")
     voters = quality.fitted(odd, labels)
