@@ -221,6 +221,62 @@ def test_damaged_media(spark):
     assert all(v == (None, None, False) for v in got.values())
 
 
+def _fragmented() -> tuple[bytes, list[bytes]]:
+    """Two tracks without tabled samples, and two fragments: defaults from the movie, the fragment and the run; places from the fragment and from the run before."""
+    box, full = media._box, media._full
+
+    def trak(number: int, kind: bytes, codec: bytes, scale: int) -> bytes:
+        none = struct.pack(">I", 0)
+        table = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stts", none), full(b"stsc", none), full(b"stsz", none, none), full(b"stco", none))
+        mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, scale, 0, 0x55C4, 0))
+        return box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60), flags=3), box(b"mdia", mdhd, full(b"hdlr", struct.pack(">I4s", 0, kind), bytes(13)), box(b"minf", table)))
+
+    trex = lambda n, time, size, flags: full(b"trex", struct.pack(">5I", n, 1, time, size, flags))
+    head = box(b"ftyp", b"iso5", bytes(4)) + box(b"moov", full(b"mvhd", bytes(96)), trak(1, b"vide", b"avc1", 1000), trak(2, b"soun", b"mp4a", 8000), box(b"mvex", trex(1, 40, 0, 0x10000), trex(2, 1024, 5, 0)))
+    video, audio = [b"K" * 9, b"p" * 4, b"q" * 3, b"L" * 7], [b"a" * 5, b"b" * 5, b"c" * 5]
+
+    def moof(first: int) -> bytes:
+        one = box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">IiI", 2, first, 0), struct.pack(">II", 9, 4), flags=0x205), full(b"trun", struct.pack(">I", 1), struct.pack(">I", 3), flags=0x200))
+        two = box(b"traf", full(b"tfhd", struct.pack(">I", 2), flags=0x20000), full(b"trun", struct.pack(">Ii", 2, first + 16), flags=1))
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), one, two)
+
+    head += moof(len(moof(0)) + 8) + box(b"mdat", *video[:3], *audio[:2])
+    late = lambda first: box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">IQI", 1, first, 100), flags=0x9), full(b"trun", struct.pack(">III", 1, 0, 7), flags=0x204)), box(b"traf", full(b"tfhd", struct.pack(">I", 2)), full(b"trun", struct.pack(">I", 1))))
+    first = len(head) + len(late(0)) + 8
+    return head + late(first) + box(b"mdat", video[3], audio[2]), [b"".join(video), b"".join(audio)]
+
+
+def test_fragments_and_every_track(spark):
+    data, stored = _fragmented()
+    found = media.tracks(data)
+    assert [media.samples(data, t) for t in found] == stored
+    assert [(t["id"], t["kind"], t["codec"], t["duration"], len(t["sizes"])) for t in found] == [(1, "vide", "avc1", 220, 4), (2, "soun", "mp4a", 3072, 3)]
+    assert found[0]["sync"].tolist() == [True, False, False, True] and found[1]["sync"].all()
+    rows = [(1, data), (2, data[:-3]), (3, data.replace(b"tfhd", b"skip"))]
+    got = {r.id: r for r in media.with_index(spark.createDataFrame(rows, "id long, media binary").withColumn("tracks", F.lit(1))).collect()}
+    assert [(t.kind, t.seconds, t.n_samples, len(t.keyframes)) for t in got[1].tracks] == [("vide", 0.22, 4, 2), ("soun", 0.384, 3, 3)]
+    assert (got[1].codec, got[1].n_samples) == ("avc1", 4) and data[slice(*got[1].keyframes[1])] == b"L" * 7
+    assert all(got[i].tracks is None and got[i].error for i in (2, 3))
+
+
+def test_media_columns_by_plain_arithmetic(spark, sf_dir):
+    """Every column of the query from the text alone: the payload by hand, the file by its parts, places by counting."""
+    from loamfield.llm.queries import op7_media
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op7_media(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64) if raw else b"\0" * 64
+        stored = media.write(payload)
+        assert stored.endswith(struct.pack(">I4s", len(payload) + 8, b"mdat") + payload)
+        first = len(stored) - len(payload)
+        feature = f"codec=raw;seconds={len(payload) / 8000:.3f};samples={len(payload) // 64};keyframes={-(-len(payload) // 1024)};first={first}-{first + 64}"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
+
+
 def test_media_of_awkward_rows(odd, odd_rows, none):
     got = media.with_index(media.from_texts(odd)).collect()
     assert len(got) == len(odd_rows) and all(r.error is None and r.n_samples >= 1 for r in got)
