@@ -7,6 +7,8 @@ written there as Parquet.  A lost executor then costs no more than the tasks it
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -40,28 +42,47 @@ def lean(function: Callable) -> Callable:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("loamfield.shared.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loamfield.shared.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset, and no other folder is shared by driver and executors")
         folder = "file://" + tempfile.mkdtemp(prefix="loamfield-")
         spark.conf.set("loamfield.shared.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it."""
+#: Folders written since the innermost :func:`passing` began.
+_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a reader of it; ``lasting`` tables outlive :func:`passing`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loamfield/{name}-{uuid.uuid4().hex}"
+    held = _PASSING.get()
+    if held is not None and not lasting:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleared(spark: SparkSession) -> None:
-    """Delete the tables written between steps, once results that read them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loamfield")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are deleted at the end: for steps whose result is stored by then, or written as ``lasting``."""
+    held: list[str] = []
+    token = _PASSING.set(held)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in held:
+            deleted(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

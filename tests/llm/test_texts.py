@@ -38,6 +38,12 @@ def test_layouts(spark):
         ({"turns": [{"turn": 2, "role": "assistant", "text": "b"}, {"turn": 1, "role": "user", "text": "a"}]}, "turn rows", [("user", "a"), ("assistant", "b")]),
         ({"messages": []}, "messages", []),
         ({"something": "else"}, None, []),
+        ({"data": {"prompt": "p", "completion": "c"}, "id": 7}, "prompt and completion", [("user", "p"), ("assistant", "c")]),
+        ({"a": {"b": {"messages": [{"role": "user", "content": "q"}]}}}, "messages", [("user", "q")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a "}, "b", {"type": "image", "url": "x"}]}]}, "messages", [("user", 'a b{"type": "image", "url": "x"}')]),
+        ({"prompt": "p", "response": "r", "messages": []}, "prompt and response", [("user", "p"), ("assistant", "r")]),
+        ({"instruction": "do", "output": "done", "history": [["q1", "a1"], ["q2", None]]}, "instruction", [("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", ""), ("user", "do"), ("assistant", "done")]),
+        ({"messages": [{"role": "user", "content": "a" * 300_000}, {"role": "assistant", "content": "<|im_end|>" * 30_000}]}, "messages", [("user", "a" * 300_000), ("assistant", "<|im_end|>" * 30_000)]),
     ]
     rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(90, None), (91, "no json"), (None, "[1]")]
     got = {r.id: r for r in chat_format.chats(spark.createDataFrame(rows, "id long, record string").withColumn("layout", F.lit("clash")), "id").collect()}
@@ -45,6 +51,7 @@ def test_layouts(spark):
         assert (got[i].layout, chat_format.read_back(got[i].formatted)) == (layout, turns)
     assert all(got[i].layout is None and got[i].formatted == "" for i in (90, 91, None))
     assert got[2].fingerprint != got[3].fingerprint
+    assert got[7].reason == "no mapping for something" and got[90].reason == "no record" and got[91].reason == "not JSON" and got[0].reason is None
 
 
 def test_turn_rows(spark):
@@ -55,6 +62,24 @@ def test_turn_rows(spark):
     assert chat_format.chats(chat_format.from_turn_rows(table.limit(0)), "conv_id").count() == 0
 
 
+def test_query_of_awkward_conversations(spark, tmp_path):
+    """The query's columns on repeated, null, clashing and empty rows, by hand; and on an empty table, where only conversation -1 is left."""
+    from loamfield.llm.queries import op1_chat_format
+
+    kinds = "conv_id long, turn long, role string, text string, record string, formatted string"
+    rows = [(1, 0, "user", None, "x", "y"), (1, 0, "user", None, "x", "y"), (1, 2, "assistant", "<|im_end|>\n", None, None), (1, None, None, "first", None, None), (2, 0, "assistant", "", None, None), (3, 1, "assistant", "z" * 50_000, None, None)]
+    for k, table in enumerate((rows, [])):
+        spark.createDataFrame(table, kinds).write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+        got = {r.conv_id: r for r in op1_chat_format(spark, f"{tmp_path}/{k}").collect()}
+        turns = {1: [("", "first"), ("user", ""), ("user", ""), ("assistant", "<|im_end|>\n")], 2: [("assistant", "")], 3: [("assistant", "z" * 50_000)]} if table else {}
+        turns[-1] = [(r, "<|im_end|><|im_start|>assistant ok") for r in ("user", "assistant")]
+        assert got.keys() == turns.keys()
+        for c, t in turns.items():
+            learnt = "".join(x for r, x in t if r == "assistant")
+            assert (got[c].n_turns, got[c].turns_sha256) == (len(t), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest())
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
 # --- urls
 
 
