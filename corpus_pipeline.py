@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamfield.llm import exact_dedup, ngram_jaccard, packing, quality, substring_dedup
 from loamfield.llm.queries import tokenizer_file
-from loamfield.llm.shared import written
+from loamfield.llm.shared import passing, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the documents of ``sf_dir``, each written and read again."""
+    """All stages applied to the documents of ``sf_dir``, each written and read again; what a stage writes on its way goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), name, lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
