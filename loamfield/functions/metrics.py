@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import quantiles, same
 from .tails import shapiro_wilk
 
 NEAR_ZERO = math.sqrt(2.220446049250313e-16)
@@ -42,10 +43,6 @@ def _share(x: Column, test: Column) -> Column:
     return F.avg(F.when(x.isNotNull(), test.cast("double")))
 
 
-def _quantile(x: Column, q: float) -> Column:
-    return F.percentile(x, F.lit(float(q))) if 0 <= q <= 1 else F.lit(None).cast("double")
-
-
 def _variance_over_zero(x: Column) -> Column:
     return F.max(x) > F.min(x)
 
@@ -81,9 +78,10 @@ def _shapiro(values: pd.Series) -> pd.Series:
 class Metric:
     name: str
     family: str
-    #: scalar, centred (a second pass), ordered (a window first), distribution, or test.
+    #: scalar, quantile (of exact quantiles), centred (a second pass), ordered (a window first), distribution, or test.
     shape: str
     kind: str = "numeric"
+    #: Of a scalar the aggregate of a column; of a quantile the value from a function that gives the quantile at a share.
     build: Callable[..., Column] | None = None
     arguments: tuple[str, ...] = ()
     needs_many: bool = False
@@ -95,17 +93,17 @@ def _metric(name: str, family: str, build, arguments: tuple[str, ...] = (), kind
 
 _LIST = [
     _metric("mean", "central", lambda x: F.avg(x)),
-    _metric("median", "central", lambda x: _quantile(x, 0.5)),
+    _metric("median", "central", lambda at: at(0.5), shape="quantile"),
     _metric("mode_value", "central", lambda x: F.mode(x, True)),
     _metric("sd", "spread", lambda x: F.stddev_samp(x)),
     _metric("mad", "spread", None, shape="centred"),
-    _metric("iqr", "spread", lambda x: _quantile(x, 0.75) - _quantile(x, 0.25)),
+    _metric("iqr", "spread", lambda at: at(0.75) - at(0.25), shape="quantile"),
     _metric("range_width", "spread", lambda x: F.max(x) - F.min(x)),
     _metric("cv", "spread", _cv, many=True),
     _metric("min", "spread", lambda x: F.min(x)),
     _metric("max", "spread", lambda x: F.max(x)),
-    _metric("quantile", "quantile", lambda x, q: _quantile(x, q), ("q",)),
-    *(_metric(f"p{p}", "quantile", lambda x, p=p: _quantile(x, p / 100), many=p in (10, 90, 95, 99)) for p in (10, 25, 75, 90, 95, 99)),
+    _metric("quantile", "quantile", lambda at, q: at(q), ("q",), shape="quantile"),
+    *(_metric(f"p{p}", "quantile", lambda at, p=p: at(p / 100), shape="quantile", many=p in (10, 90, 95, 99)) for p in (10, 25, 75, 90, 95, 99)),
     _metric("n", "count", lambda x: F.count(x)),
     _metric("n_unique", "count", lambda x: F.countDistinct(x)),
     _metric("skewness", "shape", lambda x: F.when((F.count(x) >= 3) & _variance_over_zero(x), F.skewness(x)), many=True),
@@ -113,7 +111,7 @@ _LIST = [
     _metric("log_mean", "heavy tail", lambda x: _log(x, F.avg, 1)),
     _metric("log_sd", "heavy tail", lambda x: _log(x, F.stddev_samp, 2)),
     _metric("outlier_count_iqr", "heavy tail", None, shape="centred", many=True),
-    _metric("max_to_median_ratio", "heavy tail", lambda x: F.when(F.abs(_quantile(x, 0.5)) >= NEAR_ZERO, F.max(x) / _quantile(x, 0.5)), many=True),
+    _metric("max_to_median_ratio", "heavy tail", lambda at: F.when(F.abs(at(0.5)) >= NEAR_ZERO, at(1.0) / at(0.5)), shape="quantile", many=True),
     _metric("proportion_zero", "proportion", lambda x: _share(x, x == 0)),
     _metric("proportion_nonzero", "proportion", lambda x: _share(x, x != 0)),
     _metric("proportion_above", "proportion", lambda x, threshold: _share(x, x > threshold), ("threshold",)),
@@ -169,37 +167,49 @@ def described_values(df: DataFrame, value: str, metrics: Sequence[str | tuple[st
     x = F.col("_x")
     plain = [CATALOGUE[n].build(x, **a).alias(n) for n, a in asked if CATALOGUE[n].shape == "scalar"]
     out = rows.groupBy(*by).agg(F.count(x).alias("n_observed"), *plain)
+    ranked = [(n, a) for n, a in asked if CATALOGUE[n].shape == "quantile"]
+    if ranked:
+        out = _with_quantiles(out, rows, by, ranked)
     for name, _ in asked:
         second = _SECOND.get(name)
         if second:
-            out = _same(out, second(rows, by), by)
+            out = same(out, second(rows, by), by)
     return out.select(*by, "n_observed", *(n for n, _ in asked))
 
 
-def _same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Left join of two frames with a row a group; groups may be null."""
-    if not by:
-        return a.crossJoin(b)
-    b = b.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in b.columns if c not in by))
-    return a.join(b, [a[c].eqNullSafe(b[f"_{c}"]) for c in by], "left").drop(*(f"_{c}" for c in by))
+def _with_quantiles(out: DataFrame, rows: DataFrame, by: list[str], asked: list[tuple[str, dict]]) -> DataFrame:
+    """``out`` with metrics made of quantiles, all of them found in one go; a share outside 0 to 1 is null."""
+    shares: list[float] = []
+
+    def at(q: float) -> Column:
+        if not 0 <= q <= 1:
+            return F.lit(None).cast("double")
+        if q not in shares:
+            shares.append(q)
+        return F.col("_q")[shares.index(q)]
+
+    values = {name: CATALOGUE[name].build(at, **args) for name, args in asked}
+    found = quantiles(rows, "_x", shares, by) if shares else rows.groupBy(*by).agg(F.lit(None).cast("array<double>").alias("_q"))
+    return same(out, found, by).withColumns(values).drop("_q")
 
 
 def _mad(rows: DataFrame, by: list[str]) -> DataFrame:
-    centre = rows.groupBy(*by).agg(F.percentile("_x", F.lit(0.5)).alias("_centre"))
-    return _same(rows, centre, by).groupBy(*by).agg((MAD_SCALE * F.percentile(F.abs(F.col("_x") - F.col("_centre")), F.lit(0.5))).alias("mad"))
+    centre = quantiles(rows, "_x", [0.5], by)
+    away = same(rows, centre, by).select(*by, F.abs(F.col("_x") - F.col("_q")[0]).alias("_x"))
+    return quantiles(away, "_x", [0.5], by).select(*by, (MAD_SCALE * F.col("_q")[0]).alias("mad"))
 
 
 def _outliers(rows: DataFrame, by: list[str]) -> DataFrame:
-    fence = rows.groupBy(*by).agg(F.percentile("_x", F.lit(0.25)).alias("_a"), F.percentile("_x", F.lit(0.75)).alias("_b"), F.count("_x").alias("_n"))
+    quarter = quantiles(rows, "_x", [0.25, 0.75], by).select(*by, F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
     beyond = (F.col("_x") < F.col("_a") - 1.5 * (F.col("_b") - F.col("_a"))) | (F.col("_x") > F.col("_b") + 1.5 * (F.col("_b") - F.col("_a")))
-    return _same(rows, fence, by).groupBy(*by).agg(F.when(F.max("_n") >= 4, F.count_if(beyond)).alias("outlier_count_iqr"))
+    return same(rows, quarter, by).groupBy(*by).agg(F.when(F.count("_x") >= 4, F.count_if(beyond)).alias("outlier_count_iqr"))
 
 
 def _entropy(rows: DataFrame, by: list[str]) -> DataFrame:
     counts = rows.where("_x IS NOT NULL").groupBy(*by, "_x").count()
     totals = counts.groupBy(*by).agg(F.sum("count").alias("_n"))
     p = F.col("count") / F.col("_n")
-    return _same(counts, totals, by).groupBy(*by).agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    return same(counts, totals, by).groupBy(*by).agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
 def _gaps(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -207,16 +217,17 @@ def _gaps(rows: DataFrame, by: list[str]) -> DataFrame:
     t = rows.where("_x IS NOT NULL").select(*by, F.unix_micros(F.col("_x").cast("timestamp")).alias("_t")).withColumn("_day", F.col("_t").cast("long") / F.lit(86_400_000_000))
     t = t.withColumn("_day", F.floor("_day"))
     within = t.select(*by, (F.col("_t") - F.lag("_t").over(W.partitionBy(*by, "_day").orderBy("_t"))).alias("_gap")).where("_gap IS NOT NULL")
+    # A row a day.
     ends = t.groupBy(*by, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     across = ends.select(*by, (F.col("_first") - F.lag("_last").over(W.partitionBy(*by or [F.lit(0)]).orderBy("_day"))).alias("_gap")).where("_gap IS NOT NULL")
-    return within.unionByName(across).groupBy(*by).agg((F.percentile("_gap", F.lit(0.5)) / 1e6).alias("median_seconds_between"))
+    return quantiles(within.unionByName(across), "_gap", [0.5], by).select(*by, (F.col("_q")[0] / 1e6).alias("median_seconds_between"))
 
 
 def _shapiro_by(rows: DataFrame, by: list[str]) -> DataFrame:
     # A row is its value and its number among equal values; the numbers are made from counts, in runs, so that no task holds a value's rows.
     counts = rows.where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_m"))
     sizes = counts.groupBy(*by).agg(F.sum("_m").alias("_n"), F.count("*").alias("_kinds"))
-    runs = _same(counts, sizes, by).where("_kinds >= 3").select(*by, "_x", "_m", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / SHAPIRO_RUN))).alias("_run"))
+    runs = same(counts, sizes, by).where("_kinds >= 3").select(*by, "_x", "_m", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / SHAPIRO_RUN))).alias("_run"))
     number = F.sequence(F.col("_run") * SHAPIRO_RUN, F.least(F.col("_m"), (F.col("_run") + 1) * SHAPIRO_RUN) - 1)
     each = runs.repartition(*by, "_x", "_run").select(*by, "_x", "_n", F.explode(number).alias("_k")).withColumn("_hash", F.xxhash64("_x", "_k"))
     # Twice the rows wanted are ordered, of any number of rows.
@@ -281,6 +292,6 @@ def entries_over_time(df: DataFrame, ts: str, bin_width_days: float, by: Sequenc
     width = int(bin_width_days * 86_400_000_000)
     t = df.where(F.col(ts).isNotNull()).select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
     first = t.groupBy(*by).agg(F.min("_t").alias("_first"))
-    placed = _same(t, first, list(by)).withColumn("_bin", F.floor((F.col("_t") - F.col("_first")) / width))
+    placed = same(t, first, list(by)).withColumn("_bin", F.floor((F.col("_t") - F.col("_first")) / width))
     label = F.date_format(F.timestamp_micros(F.col("_first") + F.col("_bin") * width), "yyyy-MM-dd")
     return placed.groupBy(*by, label.alias("label")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ there are pairs of variables or themes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import cleaned, described_values
+from ..functions.ranges import with_before
 from ..functions.tails import chi_square_upper, correlation_p, fisher_exact, normal_two_sided
 
 # The least observations, members and variance; most values of an ordinal; effect tiers; z of 95 %.
@@ -23,7 +25,6 @@ LEAST_OBSERVED, LEAST_MEMBERS, LEAST_VARIANCE, ORDINAL_MOST = 30, 5, 0.001, 21
 TIERS = ((0.5, "large"), (0.3, "medium"), (0.10, "small"))
 Z95 = 1.959963984540054
 EXPECTED_LEAST, ENTRIES_LEAST, OBSERVED_LEAST, NETWORK_LEAST, NETWORK_TOP = 5, 10, 1, 3, 30
-BUCKETS = 200
 
 
 @F.pandas_udf(T.DoubleType())
@@ -63,6 +64,8 @@ def usable_columns(df: DataFrame, metrics: Sequence[str], members: Sequence[str]
 
 def variable_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, n_distinct, kind): binary, ordinal or continuous, by the number of distinct values."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "variable string, n_distinct bigint, kind string")
     x = {c: cleaned(F.col(f"`{c}`")) for c in columns}
     row = df.agg(*(F.struct(F.lit(c).alias("variable"), F.countDistinct(x[c]).alias("n_distinct"), F.min(x[c]).alias("low"), F.max(x[c]).alias("high")).alias(c) for c in columns))
     long = row.select(F.explode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("v")).select("v.*")
@@ -87,57 +90,80 @@ def average_ranks(df: DataFrame, value: str, to: str, by: Sequence[str] = ()) ->
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
-    bounds = sorted(set(counts.approxQuantile("_v", [i / BUCKETS for i in range(1, BUCKETS)], 0.002)))
-    edge = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
-    counts = counts.withColumn("_b", edge)
-    sums = counts.groupBy(*by, "_b").agg(F.sum("_m").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.partitionBy(*by or [F.lit(0)]).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*by, "_b", before.alias("_start"))
-    within = F.coalesce(F.sum("_m").over(W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_within", within).join(F.broadcast(starts), [*by, "_b"])  # BUCKETS rows a group
-    ranks = ranks.select(*by, F.col("_v").alias(value), (F.col("_start") + F.col("_within") + (F.col("_m") + 1) / 2).alias(to))
+    ranks = with_before(counts, "_v", "_m", "_before", by)
+    ranks = ranks.select(*by, F.col("_v").alias(value), (F.col("_before") + (F.col("_m") + 1) / 2).alias(to))
     return df.join(ranks, [*by, value], "left")
 
 
-def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(var1, var2, r, n, method, p) of every pair of columns over its complete rows.
+#: What correlations give, for frames without rows.
+FOUND = "var1 string, var2 string, r double, n bigint, method string, p double"
 
-    Pearson takes all pairs in one aggregate; Spearman ranks each pair's complete rows.
+
+def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson", pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(var1, var2, r, n, method, p) of every pair of columns, or of ``pairs`` only, over its complete rows; no rows without a pair.
+
+    Pearson takes all pairs in one aggregate.  Spearman ranks each pair's complete rows; where
+    no value is missing each column is ranked once for all pairs.
     """
-    x = {c: cleaned(F.col(f"`{c}`")) for c in columns}
+    pairs = list(combinations(columns, 2)) if pairs is None else list(pairs)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], FOUND)
+    used = [c for c in columns if any(c in p for p in pairs)]
+    x = {c: cleaned(F.col(f"`{c}`")) for c in used}
+    one = lambda a, b, u, v: F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(u, v).alias("r"), F.count(u).alias("n"))
     if method == "pearson":
-        both = {(a, b): (F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])) for a, b in combinations(columns, 2)}
-        row = df.agg(*(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(u, v).alias("r"), F.count(u).alias("n")).alias(f"{a}\0{b}") for (a, b), (u, v) in both.items()))
-        out = row.select(F.explode(F.array(*(F.col(f"`{c}`") for c in row.columns))).alias("v")).select("v.*")
+        parts = [df.agg(F.array(*(one(a, b, F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])) for a, b in pairs)).alias("all"))]
+    elif df.agg(F.count_if(functools.reduce(Column.__or__, (v.isNull() for v in x.values()))).alias("n")).first()["n"] == 0:
+        rows = df.select(*(x[c].alias(f"_{i}") for i, c in enumerate(used)))
+        for i in range(len(used)):
+            rows = average_ranks(rows, f"_{i}", f"_r{i}")
+        rank = {c: F.col(f"_r{i}") for i, c in enumerate(used)}
+        parts = [rows.agg(F.array(*(one(a, b, rank[a], rank[b]) for a, b in pairs)).alias("all"))]
     else:
         parts = []
-        for a, b in combinations(columns, 2):
+        for a, b in pairs:
             rows = df.select(x[a].alias("_a"), x[b].alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
             ranked = average_ranks(average_ranks(rows, "_a", "_ra"), "_b", "_rb")
-            parts.append(ranked.agg(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(F.col("_ra"), F.col("_rb")).alias("r"), F.count("*").alias("n")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+            parts.append(ranked.agg(F.array(one(a, b, F.col("_ra"), F.col("_rb"))).alias("all")))
+    out = functools.reduce(DataFrame.unionByName, parts).select(F.explode("all").alias("v")).select("v.*")
     return out.select("var1", "var2", F.when(~F.isnan("r"), F.col("r")).alias("r"), "n", F.lit(method).alias("method")).withColumn("p", _correlation_p("r", "n"))
 
 
-def dynamic_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlations whose method is chosen for each pair by the variables' kinds and, for two continuous ones, normality."""
+def pair_methods(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], str]:
+    """The method that suits each pair, by the variables' kinds and, for two continuous ones, normality."""
     kinds = {r["variable"]: r["kind"] for r in variable_types(df, columns).collect()}
-    continuous = [c for c in columns if kinds[c] == "continuous"]
-    normal = {c: ((r := described_values(df, c, ["shapiro_p"]).first())["shapiro_p"] or 0) > 0.05 and r["n_observed"] >= 8 for c in continuous}
-    chosen: dict[str, list[tuple[str, str]]] = {"pearson": [], "spearman": []}
-    for a, b in combinations(columns, 2):
-        chosen[pair_method(kinds[a], kinds[b], 8 if normal.get(a, True) and normal.get(b, True) else 0, normal.get(a, True) and normal.get(b, True))].append((a, b))
-    parts = []
-    for method, pairs in chosen.items():
-        if pairs:
-            found = correlations(df, [c for c in columns if any(c in p for p in pairs)], method)
-            parts.append(found.where(F.concat_ws("\0", "var1", "var2").isin([f"{a}\0{b}" for a, b in pairs])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    normal = {}
+    for c in (c for c in columns if kinds[c] == "continuous"):
+        r = described_values(df, c, ["shapiro_p"]).first()
+        normal[c] = (r["shapiro_p"] or 0) > 0.05 and r["n_observed"] >= 8
+    both = lambda a, b: normal.get(a, True) and normal.get(b, True)
+    return {(a, b): pair_method(kinds[a], kinds[b], 8 if both(a, b) else 0, both(a, b)) for a, b in combinations(columns, 2)}
+
+
+def dynamic_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Correlations whose method is chosen for each pair; see :func:`pair_methods`."""
+    methods = pair_methods(df, columns) if len(columns) > 1 else {}
+    parts = [correlations(df, columns, m, [p for p, q in methods.items() if q == m]) for m in ("pearson", "spearman")]
+    return parts[0].unionByName(parts[1])
+
+
+def prepared(entries: DataFrame, membership: DataFrame, metrics: Sequence[str], themes: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Entries with a 0/1 column for each theme, and the columns worth correlating: see :func:`usable_columns`.
+
+    Columns are named after themes; of names that would be one column the later take a number.
+    """
+    from .themes import PREFIX, syntactic_names, wide
+
+    names = syntactic_names([f"{PREFIX}{t}" for t in themes])
+    flags = wide(entries.select("std_id", *metrics), membership, themes).withColumnsRenamed({f"{PREFIX}{t}": n for t, n in zip(themes, names, strict=True)})
+    columns = usable_columns(flags, metrics, names) if [*metrics, *names] else []
+    return flags.select("std_id", *(f"`{c}`" for c in columns)), columns
+
+
+def excluded_pairs(columns: Sequence[str], affect: Sequence[str], members: Sequence[str]) -> list[tuple[str, str, bool]]:
+    """(row, column, excluded) of the whole matrix of variables: pairs that measure one thing twice, never the diagonal."""
+    inside = lambda a, b: a in affect and (b in affect or b in members)
+    return [(a, b, a != b and (inside(a, b) or inside(b, a))) for a in columns for b in columns]
 
 
 def with_adjusted_p(df: DataFrame, p: str = "p") -> DataFrame:
@@ -215,8 +241,7 @@ def group_comparison(rows: DataFrame, group: str, member: str, values: Sequence[
 
 def average_ranks_of_counts(counts: DataFrame) -> DataFrame:
     """Counts (group, variable, x, a, t) with the mid-rank of x among the group's entries."""
-    before = F.coalesce(F.sum("t").over(W.partitionBy("group", "variable").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("t") + 1) / 2)
+    return with_before(counts, "x", "t", "_before", ["group", "variable"]).withColumn("rank", F.col("_before") + (F.col("t") + 1) / 2).drop("_before")
 
 
 def pair_counts(membership: DataFrame) -> DataFrame:

@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import with_before
 from ..functions.text import code_slug, estimated_tokens, normalise_code_name
 
 # The shortest text coded, budgets of a prompt's codebook, cadence of saturation, batches.
 SHORTEST, BOOK_TOP, BOOK_RECENT, BOOK_ALIKE, BOOK_MOST = 10, 100, 20, 30, 150
 BATCH_TOKENS, BATCH_ROWS, BATCH_CHARS = 20_000, 15, 800
 BREAK_RUN, BREAK_SHARE, BREAK_FROM = 10, 0.25, 20
+#: Entries of one run of a curve.
+RUN = 1 << 16
 
 
 def pattern_segments(entries: DataFrame, rules: Sequence[tuple[str, str]], text: str = "std_text") -> DataFrame:
@@ -109,13 +112,24 @@ def saturation_cadence(n: int) -> int:
 def saturation_curve(births: DataFrame, window: int) -> DataFrame:
     """(n_coded, n_codes, n_recent, slope): codes so far, those born in the last ``window`` coded entries, codes per assignment.
 
-    ``births`` has (n_coded, n_births, n_assigned) by coded entry; it is first summed by
-    entry number, then windowed over that number.
+    ``births`` has (n_coded, n_births, n_assigned), a row a coded entry.  Entries are taken in
+    runs of consecutive numbers: sums of runs before, running sums within, and the last
+    entries of one run beside the next, so no task sees all entries.
     """
-    total = W.partitionBy(F.lit(0)).orderBy("n_coded").rowsBetween(W.unboundedPreceding, 0)
-    recent = W.partitionBy(F.lit(0)).orderBy("n_coded").rangeBetween(-(window - 1), 0)
-    n = F.sum("n_births").over(total)
-    return births.select("n_coded", n.alias("n_codes"), F.sum("n_births").over(recent).alias("n_recent"), F.try_divide(n, F.sum("n_assigned").over(total)).alias("slope"))
+    width = max(RUN, window)
+    run = F.floor(F.col("n_coded") / width)
+    rows = births.select("n_coded", "n_births", "n_assigned", run.alias("_run"))
+    sums = rows.groupBy("_run").agg(F.sum("n_births").alias("_b"), F.sum("n_assigned").alias("_a"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)  # a row for RUN entries
+    starts = sums.select("_run", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_b", "_a")))
+    halo = rows.where(F.col("n_coded") > (F.col("_run") + 1) * width - window).withColumn("_run", F.col("_run") + 1)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+    here = W.partitionBy("_run").orderBy("n_coded")
+    so_far = lambda c: F.sum(F.when(F.col("_own"), F.col(c))).over(here.rowsBetween(W.unboundedPreceding, 0))
+    recent = F.sum("n_births").over(here.rangeBetween(-(window - 1), 0))
+    placed = both.withColumns({"_n": so_far("n_births"), "_m": so_far("n_assigned"), "n_recent": recent}).where("_own").join(starts, "_run")
+    n = (F.col("_n") + F.col("_b0")).cast("long")
+    return placed.select("n_coded", n.alias("n_codes"), "n_recent", F.try_divide(n, F.col("_m") + F.col("_a0")).alias("slope"))
 
 
 def nearest_point(curve: DataFrame, at: float) -> DataFrame:
@@ -253,10 +267,15 @@ def reviewed_themes(membership: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def even_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows evenly spaced in an order: ranks round(1 .. count), by a count and a filter on ranks."""
-    ranked = rows.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)))
+    """``n`` rows evenly spaced in the order of a number: ranks round(1 .. count), rows of one number by its copies."""
     count = rows.count()
     if count <= n:
-        return ranked.drop("_i")
+        return rows
     wanted = sorted({round(1 + i * (count - 1) / (n - 1)) for i in range(n)}) if n > 1 else [1]
-    return ranked.where(F.col("_i").isin(wanted)).drop("_i")
+    counts = rows.groupBy(F.col(order).alias("_o")).agg(F.count("*").alias("_k"))
+    placed = with_before(counts, "_o", "_k", "_before")
+    # How many of a number's rows are wanted: mostly one of one.
+    hits = F.size(F.filter(F.array(*map(F.lit, wanted)), lambda w: (w > F.col("_before")) & (w <= F.col("_before") + F.col("_k"))))
+    few = placed.withColumn("_hits", hits).where("_hits > 0").select("_o", "_hits")
+    found = rows.join(few, F.col(order) == F.col("_o"))
+    return found.withColumn("_i", F.row_number().over(W.partitionBy("_o").orderBy(order))).where("_i <= _hits").select(*rows.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import quantiles, same
 from ..functions.similarity import jaro_similarity, label_set, set_jaccard, split_labels
 
 # Threshold of a match, floor of codes as a share of it, stable from, weights of a theme's score.
@@ -52,14 +53,15 @@ def sentiment_by_run(rows: DataFrame) -> DataFrame:
     """One row a run: moments of the score and shares below and above zero among scored rows."""
     s = F.col("sentiment_score")
     n = F.count(s)
-    return rows.groupBy("run_id").agg(
+    middle = quantiles(rows, "sentiment_score", [0.5], ["run_id"]).select("run_id", F.col("_q")[0].alias("median"))
+    out = rows.groupBy("run_id").agg(
         F.count("*").alias("n_entries"),
         F.avg(s).alias("mean"),
-        F.percentile(s, F.lit(0.5)).alias("median"),
         F.stddev_samp(s).alias("sd"),
         F.when(n > 0, 100 * F.count_if(s < 0) / n).alias("pct_negative"),
         F.when(n > 0, 100 * F.count_if(s > 0) / n).alias("pct_positive"),
     )
+    return same(out, middle, ["run_id"])
 
 
 def top_emotions(rows: DataFrame, k: int = 3) -> DataFrame:

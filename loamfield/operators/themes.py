@@ -5,12 +5,14 @@ Membership is a long table of pairs (std_id, theme); wide 0/1 columns exist only
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import quantiles, same
 from ..functions.similarity import split_labels
 from ..functions.text import metric_tag, truncated_at_word
 
@@ -38,6 +40,17 @@ def wide(entries: DataFrame, membership: DataFrame, themes: Sequence[str]) -> Da
     return out.withColumns({f"{PREFIX}{t}": F.coalesce(F.col(f"`{PREFIX}{t}`"), F.lit(0)) for t in themes})
 
 
+def syntactic_names(names: Sequence[str]) -> list[str]:
+    """Names of columns made of letters, digits, dots and underscores, the first not a digit; what would be one name twice is numbered."""
+    out: list[str] = []
+    for n in names:
+        name = re.sub(r"[^\w.]", ".", n)
+        name = name if re.match(r"[^\W\d_]|\.(?!\d)", name) else f"X{name}"
+        same_ = [name, *(f"{name}.{i}" for i in range(1, len(names)))]
+        out.append(next(m for m in same_ if m not in out))
+    return out
+
+
 def long(entries: DataFrame) -> DataFrame:
     """(std_id, theme) of wide 0/1 columns; null is no member."""
     columns = [c for c in entries.columns if c.startswith(PREFIX)]
@@ -115,11 +128,12 @@ def statistics(entries: DataFrame, membership: DataFrame, score: str, intensity:
         F.count("*").alias("n_entries"),
         F.avg(s).alias("mean"),
         F.stddev_samp(s).alias("sd"),
-        F.percentile(s, F.lit(0.5)).alias("median"),
         F.when(scored, 100 * F.count_if(s < NEGATIVE) / F.count("*")).alias("pct_negative"),
         F.when(scored, 100 * F.count_if(s > POSITIVE) / F.count("*")).alias("pct_positive"),
         *([F.avg(intensity).alias("intensity_mean"), F.stddev_samp(intensity).alias("intensity_sd")] if intensity else []),
     )
+    middle = quantiles(rows.select("theme", s.alias("_x")), "_x", [0.5], ["theme"]).select("theme", F.col("_q")[0].alias("median"))
+    out = same(out, middle, ["theme"])
     return out.crossJoin(F.broadcast(total)).withColumn("pct_of_total", 100 * F.col("n_entries") / F.col("_total")).drop("_total")
 
 
@@ -152,8 +166,9 @@ def display_order(kind: Column) -> Column:
 
 def boxes(rows: DataFrame, theme: str, score: str) -> DataFrame:
     """Quartiles and ends of the score by theme."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.where(F.col(score).isNotNull()).groupBy(theme).agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), q.alias("_q")).select(theme, "n", "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high")
+    found = rows.where(F.col(score).isNotNull())
+    ends = found.groupBy(theme).agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high"))
+    return same(ends, quantiles(found, score, [0.25, 0.5, 0.75], [theme]), [theme]).select(theme, "n", "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high")
 
 
 # --- quotes that stand for a theme ----------------------------------------------------------
@@ -164,7 +179,7 @@ def specific_entries(rows: DataFrame, least: int = 3) -> DataFrame:
 
     breadth is the number of themes that an entry has.
     """
-    wide_ = rows.where("breadth > 0").groupBy("theme").agg(F.percentile("breadth", F.lit(0.5)).alias("_median"))
+    wide_ = quantiles(rows.where("breadth > 0"), "breadth", [0.5], ["theme"]).select("theme", F.col("_q")[0].alias("_median"))
     marked = rows.join(wide_, "theme", "left").withColumn("_narrow", F.coalesce((F.col("breadth") > 0) & (F.col("breadth") <= F.col("_median")), F.lit(False)))
     enough = marked.groupBy("theme").agg((F.count_if("_narrow") >= least).alias("_enough"))
     return marked.join(enough, "theme").where("_narrow OR NOT _enough").drop("_median", "_narrow", "_enough")
