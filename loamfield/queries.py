@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus, live, over_time, registry, runs, statistics
+from .plans import corpus, live, over_time, registry, runs, statistics, texts
 
-_MODULES = (corpus, live, over_time, runs, statistics)
+_MODULES = (corpus, live, over_time, runs, statistics, texts)
 
 
 def queries() -> dict[str, registry.Query]:
