@@ -82,14 +82,15 @@ def pair_method(a: str, b: str, n: int, normal: bool) -> str:
     return "pearson" if n >= 8 and normal else "spearman"
 
 
-def average_ranks(df: DataFrame, value: str, to: str, by: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, to: str, by: Sequence[str] = (), among: DataFrame | None = None) -> DataFrame:
     """``df`` with the mid-rank of ``value`` among its group's values, from 1; null values have none.
 
-    Ranks are taken on distinct values, in buckets of their range, and joined back: no task
-    sorts a whole column.
+    Ranks are taken on distinct values, in ranges, and joined back: no task sorts a whole
+    column.  ``among`` has the same rows, if ``df`` is these with more columns: ranks are then
+    taken there, so that a plan of many ranks doesn't hold each in the next.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    counts = (df if among is None else among).where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
     ranks = with_before(counts, "_v", "_m", "_before", by)
     ranks = ranks.select(*by, F.col("_v").alias(value), (F.col("_before") + (F.col("_m") + 1) / 2).alias(to))
     return df.join(ranks, [*by, value], "left")
@@ -115,15 +116,16 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson",
         parts = [df.agg(F.array(*(one(a, b, F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])) for a, b in pairs)).alias("all"))]
     elif df.agg(F.count_if(functools.reduce(Column.__or__, (v.isNull() for v in x.values()))).alias("n")).first()["n"] == 0:
         rows = df.select(*(x[c].alias(f"_{i}") for i, c in enumerate(used)))
+        ranked = rows
         for i in range(len(used)):
-            rows = average_ranks(rows, f"_{i}", f"_r{i}")
+            ranked = average_ranks(ranked, f"_{i}", f"_r{i}", among=rows)
         rank = {c: F.col(f"_r{i}") for i, c in enumerate(used)}
-        parts = [rows.agg(F.array(*(one(a, b, rank[a], rank[b]) for a, b in pairs)).alias("all"))]
+        parts = [ranked.agg(F.array(*(one(a, b, rank[a], rank[b]) for a, b in pairs)).alias("all"))]
     else:
         parts = []
         for a, b in pairs:
             rows = df.select(x[a].alias("_a"), x[b].alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-            ranked = average_ranks(average_ranks(rows, "_a", "_ra"), "_b", "_rb")
+            ranked = average_ranks(average_ranks(rows, "_a", "_ra"), "_b", "_rb", among=rows)
             parts.append(ranked.agg(F.array(one(a, b, F.col("_ra"), F.col("_rb"))).alias("all")))
     out = functools.reduce(DataFrame.unionByName, parts).select(F.explode("all").alias("v")).select("v.*")
     return out.select("var1", "var2", F.when(~F.isnan("r"), F.col("r")).alias("r"), "n", F.lit(method).alias("method")).withColumn("p", _correlation_p("r", "n"))

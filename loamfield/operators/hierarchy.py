@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Leaves of a codebook that a clustering takes, at most.
+MOST_LEAVES = 100_000
+
+
 def paths(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", name: str = "name", most_depth: int = 50) -> DataFrame:
     """(node, root, depth, path ARRAY, names ARRAY) of every node below the roots, level by level.
 
@@ -113,8 +117,8 @@ def themes_and_subthemes(passes: DataFrame) -> DataFrame:
 def multipass(leaves: DataFrame, propose, most_passes: int = 20) -> tuple[DataFrame, int]:
     """Leaves merged pass by pass until a proposal is the identity, repeats, or none is made.
 
-    ``propose(leaves, n)`` gives (cluster, leaf) or None.  Leaves are a codebook's; each pass
-    is a few small jobs and its result is numbered anew.
+    ``propose(leaves, n)`` gives (cluster, leaf) or None.  Leaves are a codebook's, at most
+    MOST_LEAVES; each pass is a few small jobs, after which its rows are held as they are.
     """
     seen: set[str] = set()
     for n in range(1, most_passes + 1):
@@ -126,7 +130,11 @@ def multipass(leaves: DataFrame, propose, most_passes: int = 20) -> tuple[DataFr
         if is_identity(partition).first()["identity"] or text in seen:
             return leaves, n - 1
         seen.add(text)
-        leaves = applied_partition(leaves, partition).select(F.col("cluster").alias("leaf"), "codes")
+        merged = applied_partition(leaves, partition).select(F.col("cluster").alias("leaf"), "codes")
+        rows = merged.limit(MOST_LEAVES + 1).collect()
+        if len(rows) > MOST_LEAVES:
+            raise ValueError(f"a codebook has at most {MOST_LEAVES} leaves")
+        leaves = leaves.sparkSession.createDataFrame(rows, merged.schema)
     return leaves, most_passes
 
 
