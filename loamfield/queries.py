@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus, live, over_time, registry, review, runs, statistics, texts
+from .plans import corpus, files, live, over_time, registry, review, runs, statistics, texts
 
-_MODULES = (corpus, live, over_time, review, runs, statistics, texts)
+_MODULES = (corpus, files, live, over_time, review, runs, statistics, texts)
 
 
 def queries() -> dict[str, registry.Query]:

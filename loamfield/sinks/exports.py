@@ -29,15 +29,19 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.array_join(f"`{c}`", "; ").alias(c) if t == "array<string>" else F.to_json(f"`{c}`").alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
+#: Texts stay as they are: quotes doubled, white space at either end kept.
+_PLAIN = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def table(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header, also when there are no rows; ``one_file`` only for tables of result size."""
     rows = flat(df)
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").options(**_PLAIN).csv(path)
 
 
 def entries_by_theme(entries: DataFrame, membership: DataFrame, path: str) -> None:
     """Entries in a folder for each theme; an entry is in each of its themes' folders."""
-    flat(entries.join(membership.select("std_id", "theme"), "std_id")).write.mode("overwrite").partitionBy("theme").option("header", "true").option("escape", '"').csv(path)
+    flat(entries.join(membership.select("std_id", "theme"), "std_id")).write.mode("overwrite").partitionBy("theme").options(**_PLAIN).csv(path)
 
 
 def subtheme_summary(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:

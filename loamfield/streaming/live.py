@@ -6,9 +6,10 @@ codebook.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,16 +31,23 @@ def sessions(events: DataFrame, ts: str, author: str, gap: str = "30 minutes", l
 
 
 def inserts(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Rows appended to a Parquet table unless their key is there: a batch that is run again adds nothing."""
+    """Rows appended to a Parquet table unless their key is there: a batch that is run again adds nothing.
+
+    Of the table only the keys between a batch's least and greatest are read.
+    """
 
     def put(rows: DataFrame, _: int) -> None:
         new = rows.dropDuplicates([key])
+        ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
         try:
-            stored = rows.sparkSession.read.parquet(target)
-        except Exception:  # noqa: BLE001 - the first batch has no table yet
-            stored = None
-        if stored is not None:
-            new = new.join(stored.select(key), key, "left_anti")
+            stored = rows.sparkSession.read.schema(rows.schema).parquet(target).select(key)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything but the first batch's missing table is an error
+                raise
+        else:
+            if ends["a"] is not None:
+                stored = stored.where(F.col(key).between(F.lit(ends["a"]), F.lit(ends["b"])))
+            new = new.join(stored, key, "left_anti")
         new.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -72,9 +80,17 @@ def growing_codebook(coded: DataFrame, corpus: str = "corpus") -> DataFrame:
     return coded.groupBy(corpus).applyInPandasWithState(update, f"{corpus} {kind}, code_key string, n long, is_new boolean", "codes array<string>, counts array<long>", "update", "NoTimeout")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete", prepare: Callable | None = None) -> DataFrame:
-    """A stream run over what is there, into a table in memory: for tests and small results."""
-    writer = (prepare or (lambda w: w))(stream.writeStream.outputMode(mode).format("memory").queryName(name))
-    query = writer.trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """A stream run over what is there, into a table in a shared folder; of a complete result the last state, else all changes."""
+    spark, numbers = stream.sparkSession, []
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number:010d}")
+        numbers.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    kept = numbers[-1:] if mode == "complete" else numbers
+    if not kept:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/batch={n:010d}" for n in kept))
