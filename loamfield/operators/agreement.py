@@ -14,6 +14,8 @@ from ..functions.similarity import jaro, label_set, set_jaccard
 
 # Sample of a verification, slots of a sheet, distance of one label from another, resamples.
 SAMPLE, SLOTS, FUZZY, RESAMPLES, SEED = 20, 8, 0.15, 2000, 42
+#: Different sets of labels whose pairs are formed, at most.
+MOST_KINDS = 20_000
 KAPPA_BANDS = ((0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight"))
 
 
@@ -66,11 +68,14 @@ def set_alpha(pairs: DataFrame) -> DataFrame:
     """(n, observed, expected, alpha) with Jaccard distances between sets; null with fewer than two entries.
 
     The expected distance is over all pairs of the pooled 2n sets.  It is taken on distinct
-    sets with their counts, which a codebook bounds, so the pairs don't grow with entries.
+    sets with their counts, so the pairs don't grow with entries; more than MOST_KINDS
+    different sets are an error.
     """
     observed = pairs.agg(F.count("*").alias("n"), F.avg(set_distance(F.col("a"), F.col("b"))).alias("observed"))
     pooled = pairs.select(F.explode(F.array(F.struct(F.array_sort(F.array_distinct("a")).alias("s")), F.struct(F.array_sort(F.array_distinct("b")).alias("s")))).alias("x"))
     kinds = pooled.groupBy("x.s").agg(F.count("*").alias("k"))
+    if kinds.limit(MOST_KINDS + 1).count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} different sets of labels")
     other = kinds.select(F.col("s").alias("s2"), F.col("k").alias("k2"))
     d = set_distance(F.col("s"), F.col("s2")) * F.col("k") * F.col("k2")
     total = kinds.crossJoin(other).agg(F.sum(d).alias("d"), F.sum(F.col("k") * F.col("k2")).alias("w"), F.sum(F.when(F.col("s") == F.col("s2"), F.col("k"))).alias("self"))

@@ -218,19 +218,42 @@ def group_comparison(rows: DataFrame, group: str, member: str, values: Sequence[
     members; p is by the normal approximation with corrections for ties and continuity; the
     effect is rank-biserial.  Everything is an aggregate of (value, member) counts.
     """
-    long = rows.select(F.col(group).alias("group"), F.col(member).cast("int").alias("m"), F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), cleaned(F.col(f"`{v}`")).alias("x")) for v in values))).alias("v"))
-    long = long.select("group", "m", "v.variable", "v.x").where("x IS NOT NULL AND m IS NOT NULL")
+    long = _long_values(rows.select(F.col(group).alias("group"), F.col(member).cast("int").alias("m"), *values), ["group", "m"], values).where("m IS NOT NULL")
     counts = long.groupBy("group", "variable", "x").agg(F.sum("m").alias("a"), F.count("*").alias("t"))
-    ranked = average_ranks_of_counts(counts)
-    n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
-    sums = ranked.groupBy("group", "variable").agg(
+    sums = average_ranks_of_counts(counts).groupBy("group", "variable").agg(
         F.sum("a").alias("n1"),
-        F.sum(F.col("t") - F.col("a")).alias("n2"),
+        F.sum("t").alias("n"),
         F.sum(F.col("rank") * F.col("a")).alias("ranks"),
         F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"),
-        F.try_divide(F.sum(F.col("x") * F.col("a")), F.sum("a")).alias("mean_1"),
-        F.try_divide(F.sum(F.col("x") * (F.col("t") - F.col("a"))), F.sum(F.col("t") - F.col("a"))).alias("mean_2"),
+        F.sum(F.col("x") * F.col("a")).alias("s1"),
+        F.sum(F.col("x") * F.col("t")).alias("s"),
     )
+    return _rank_sum_test(sums, least)
+
+
+def theme_comparison(entries: DataFrame, membership: DataFrame, values: Sequence[str], least: int = LEAST_MEMBERS) -> DataFrame:
+    """As :func:`group_comparison`, of each theme's members among all entries.
+
+    A value's rank among all entries is the same for every theme, so it is taken once, and no
+    row is made of an entry and a theme that it is not in.
+    """
+    long = _long_values(entries, ["std_id"], values)
+    ranked = average_ranks_of_counts(long.groupBy(F.lit("all").alias("group"), "variable", "x").agg(F.count("*").alias("t"))).drop("group")
+    whole = ranked.groupBy("variable").agg(F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"), F.sum(F.col("x") * F.col("t")).alias("s"))
+    members = long.join(membership.select("std_id", F.col("theme").alias("group")).distinct(), "std_id").groupBy("group", "variable", "x").agg(F.count("*").alias("a"))
+    inside = members.join(ranked.select("variable", "x", "rank"), ["variable", "x"]).groupBy("group", "variable").agg(F.sum("a").alias("n1"), F.sum(F.col("rank") * F.col("a")).alias("ranks"), F.sum(F.col("x") * F.col("a")).alias("s1"))
+    return _rank_sum_test(inside.join(whole, "variable"), least)
+
+
+def _long_values(rows: DataFrame, keys: list[str], values: Sequence[str]) -> DataFrame:
+    long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), cleaned(F.col(f"`{v}`")).alias("x")) for v in values))).alias("v"))
+    return long.select(*keys, "v.variable", "v.x").where("x IS NOT NULL")
+
+
+def _rank_sum_test(sums: DataFrame, least: int) -> DataFrame:
+    """The test of rows (group, variable, n1, n, ranks, ties, s1, s): sizes, ranks and sums of members, and of all."""
+    n1, n2, n = F.col("n1"), F.col("n2"), F.col("n")
+    sums = sums.withColumn("n2", n - n1).withColumns({"mean_1": F.try_divide(F.col("s1"), n1), "mean_2": F.try_divide(F.col("s") - F.col("s1"), n2)})
     sums = sums.where((n1 >= least) & (n2 >= least)).withColumn("u", F.col("ranks") - n1 * (n1 + 1) / 2)
     shift = F.col("u") - n1 * n2 / 2
     sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
@@ -238,7 +261,7 @@ def group_comparison(rows: DataFrame, group: str, member: str, values: Sequence[
     effect = 2 * F.col("u") / (n1 * n2) - 1
     tested = sums.withColumns({"effect_r": effect, "z": z}).withColumn("p", _normal_p("z"))
     direction = F.when(F.col("effect_r") > 0, "Higher in theme").when(F.col("effect_r") < 0, "Lower in theme").otherwise("No difference")
-    return with_adjusted_p(tested.withColumn("direction", direction)).withColumn("effect_size", effect_tier(F.col("effect_r"))).drop("ranks", "ties", "z")
+    return with_adjusted_p(tested.withColumn("direction", direction)).withColumn("effect_size", effect_tier(F.col("effect_r"))).drop("ranks", "ties", "z", "n", "s", "s1")
 
 
 def average_ranks_of_counts(counts: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ranges import quantiles, same
+from ..functions.ranges import quantiles, same, with_before
 from ..functions.similarity import split_labels
 from ..functions.text import metric_tag, truncated_at_word
 
@@ -189,12 +190,22 @@ def extreme_quotes(rows: DataFrame, score: str, order: str, least_chars: int = 5
     """(theme, position, ...) of the most negative, median and most positive entry of each theme.
 
     Texts of ``least_chars`` characters or fewer don't count.  Equal scores are told apart by
-    ``order``, null scores come last.
+    ``order``, which tells the entries of a theme apart; null scores come last.  No theme is
+    sorted: the ends are aggregates, the middle is found by sums over scores.
     """
-    place = W.partitionBy("theme").orderBy(F.col(score).asc_nulls_last(), order)
-    ranked = rows.where(F.char_length("std_text") > least_chars).withColumn("_i", F.row_number().over(place)).withColumn("_n", F.count("*").over(W.partitionBy("theme")))
-    position = F.when(F.col("_i") == 1, "most_negative").when((F.col("_n") >= 3) & (F.col("_i") == F.ceil(F.col("_n") / 2)), "median").when((F.col("_n") >= 2) & (F.col("_i") == F.col("_n")), "most_positive")
-    return ranked.withColumn("position", position).where("position IS NOT NULL").drop("_i", "_n")
+    named = rows.where(F.char_length("std_text") > least_chars)
+    keys = named.select("theme", F.col(order).alias("_o"), F.coalesce(F.col(score).cast("double"), F.lit(float("inf"))).alias("_s"))
+    ends = keys.groupBy("theme").agg(F.count("*").alias("_n"), F.min(F.struct("_s", "_o")).alias("_low"), F.max(F.struct("_s", "_o")).alias("_high"))
+    # The score that holds the middle place, and of the entries with that score the one at the place left over.
+    bars = with_before(keys.groupBy("theme", "_s").agg(F.count("*").alias("_k")), "_s", "_k", "_before", ["theme"]).join(ends.select("theme", F.ceil(F.col("_n") / 2).alias("_mid"), "_n"), "theme")
+    bar = bars.where("_n >= 3 AND _before < _mid AND _mid <= _before + _k").select("theme", "_s", (F.col("_mid") - F.col("_before")).alias("_place"))
+    ties = keys.join(bar, ["theme", "_s"]).withColumn("_one", F.lit(1))
+    numeric = isinstance(rows.schema[order].dataType, T.NumericType)
+    at = with_before(ties, "_o", "_one", "_i", ["theme"]) if numeric else ties.withColumn("_i", F.row_number().over(W.partitionBy("theme").orderBy("_o")) - 1)
+    middle = at.where("_i + 1 = _place").select("theme", "_o", F.lit("median").alias("position"))
+    outer = ends.select("theme", F.explode(F.array(F.struct(F.col("_low._o").alias("_o"), F.lit("most_negative").alias("position"), F.lit(1).alias("_least")), F.struct(F.col("_high._o").alias("_o"), F.lit("most_positive").alias("position"), F.lit(2).alias("_least")))).alias("e"), "_n")
+    chosen = outer.where("_n >= e._least").select("theme", "e._o", "e.position").unionByName(middle).withColumnRenamed("theme", "_theme")
+    return named.join(chosen, (F.col("theme") == F.col("_theme")) & (F.col(order) == F.col("_o"))).drop("_theme", "_o")
 
 
 def spread_quotes(rows: DataFrame, score: str, order: str, author: str, least_chars: int = 50) -> DataFrame:

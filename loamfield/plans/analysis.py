@@ -62,13 +62,11 @@ def analysed(spark: SparkSession, tables: Mapping[str, DataFrame], coder: Coder,
     }
     if scores:
         scored = entries.join(coding.clamped_scores(scores(entries)), "std_id", "left")
-        flags = scored.select("std_id", "sentiment_score").crossJoin(F.broadcast(theme_codes.select("theme").distinct()))  # entries by themes of a codebook
-        flags = flags.join(membership.select("std_id", "theme", F.lit(1).alias("member")), ["std_id", "theme"], "left").withColumn("member", F.coalesce("member", F.lit(0)))
         out |= {
             "sentiment": scored,
             "statistics": themes.statistics(scored, membership, "sentiment_score"),
             "prevalence": themes.enriched(scored, membership, "sentiment_score"),
-            "groups": association.group_comparison(flags, "theme", "member", ["sentiment_score"], least),
+            "groups": association.theme_comparison(scored, membership, ["sentiment_score"], least),
         }
     return out
 

@@ -395,14 +395,15 @@ def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT vec_id AS code_key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 50), e AS (SELECT vec_id AS std_id, embedding::DOUBLE[] AS u FROM embeddings),
-s AS (SELECT std_id, code_key, list_cosine_similarity(u, v) AS x FROM e, c)
+WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label AS code_key, list(a ORDER BY i) AS v FROM (SELECT label, i, avg(v) AS a FROM x GROUP BY ALL) GROUP BY label),
+e AS (SELECT vec_id AS std_id, embedding::DOUBLE[] AS u FROM embeddings), s AS (SELECT std_id, code_key, list_cosine_similarity(u, v) AS x FROM e, c)
 SELECT std_id, code_key, round(x, 6) AS score, row_number() OVER (PARTITION BY std_id ORDER BY round(x, 12) DESC, code_key)::INT AS place FROM s QUALIFY place <= 3
 """)
 def semantic_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest of fifty codes for every vector: the codebook is what the first fifty vectors stand for."""
+    """The three nearest codes of every vector: a code is a label, its vector the mean of all that have it."""
     rows = table(spark, sf_dir, "embeddings")
-    book = rows.where("vec_id < 50").select(F.col("vec_id").alias("code_key"), F.col("embedding").alias("vector"))
+    means = rows.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    book = means.groupBy(F.col("label").alias("code_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
     out = coding.semantic_top_codes(rows.select(F.col("vec_id").alias("std_id"), F.col("embedding").alias("vector")), book, 3)
     return out.withColumn("score", F.round("score", 6))
 

@@ -140,6 +140,18 @@ def wilcoxon_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(association.group_comparison(rows, "lang", "quality", ["n_chars"]).select("group", "p", "p_bh", "p_bonferroni"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, lang, source, n_chars::DOUBLE AS x FROM documents), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS k FROM d), t AS (SELECT count(*) AS n, sum(x) AS s FROM d),
+g AS (SELECT lang AS "group", count(*) AS n1, sum(k) - count(*) * (count(*) + 1) / 2 AS u, avg(x) AS mean_1, sum(x) AS s1 FROM r GROUP BY lang)
+SELECT "group", n1, n - n1 AS n2, round(u, 3)::DOUBLE AS u, round(2 * u / (n1 * (n - n1)) - 1, 6)::DOUBLE AS effect_r, round(mean_1, 4) AS mean_1, round((s - s1) / (n - n1), 4) AS mean_2 FROM g, t WHERE n1 >= 5 AND n - n1 >= 5
+""")
+def themes_against_the_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of each language's documents against those of all others."""
+    docs = table(spark, sf_dir, "documents").withColumn("std_id", F.col("doc_id"))
+    out = association.theme_comparison(docs, docs.select("std_id", F.col("lang").alias("theme")), ["n_chars"])
+    return out.select("group", "n1", "n2", F.round("u", 3).alias("u"), F.round("effect_r", 6).alias("effect_r"), F.round("mean_1", 4).alias("mean_1"), F.round("mean_2", 4).alias("mean_2"))
+
+
 _C = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
 _H = f"exp({_C.format(n='n1', k='x')} + {_C.format(n='(n - n1)', k='(n2 - x)')} - {_C.format(n='n', k='n2')})"
 
