@@ -137,7 +137,7 @@ def matched(pairs: DataFrame, least: float) -> DataFrame:
     left: set[int] = set()
     right: set[int] = set()
     kept = []
-    for r in sorted(rows, key=lambda r: (-r["score"], r["j"], r["i"])):
+    for r in sorted(rows, key=lambda r: (-round(r["score"], 12), r["j"], r["i"])):  # sums in another order are no other score
         if r["i"] not in left and r["j"] not in right:
             left.add(r["i"])
             right.add(r["j"])

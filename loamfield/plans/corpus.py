@@ -263,10 +263,24 @@ def representative_quotes_minmedmax(spark: SparkSession, sf_dir: str) -> DataFra
     return themes.extreme_quotes(_theme_rows(spark, sf_dir), "sentiment_score", "std_id").select("theme", "std_id", "position")
 
 
-@query()
+def _nearest(target: str, taken: list[str]) -> str:
+    """SQL of the place nearest to a target whose entry and author aren't taken yet, else the target."""
+    free = " AND ".join(f"e.i <> {t}.i AND (coalesce(e.a, '') = '' OR e.a IS DISTINCT FROM {t}.a)" for t in taken)
+    return f"coalesce(min({{'far': abs(e.i - {target}), 'i': e.i}}) FILTER ({free}).i, {target})"
+
+
+@query(f"""
+WITH {_MEMBERS}, f AS (SELECT theme, std_id, source AS a, ({_SCORE})::DOUBLE AS s FROM m JOIN documents ON doc_id = std_id WHERE length(text) > 50),
+e AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY s, std_id) AS i, count(*) OVER (PARTITION BY theme) AS n FROM f), p1 AS (SELECT * FROM e WHERE i = 1),
+q2 AS (SELECT e.theme, {_nearest("any_value(ceil(e.n / 2))::BIGINT", ["p1"])} AS i FROM e JOIN p1 USING (theme) WHERE e.n >= 3 GROUP BY e.theme), p2 AS (SELECT e.* FROM e JOIN q2 USING (theme, i)),
+b AS (SELECT p1.theme, p1.i AS i1, p1.a AS a1, coalesce(p2.i, 0) AS i2, p2.a AS a2 FROM p1 LEFT JOIN p2 USING (theme)), x AS (SELECT theme, i1 AS i, a1 AS a FROM b), y AS (SELECT theme, i2 AS i, a2 AS a FROM b),
+q3 AS (SELECT e.theme, {_nearest("any_value(e.n)", ["x", "y"])} AS i FROM e JOIN x ON x.theme = e.theme JOIN y ON y.theme = e.theme WHERE e.n >= 2 GROUP BY e.theme), p3 AS (SELECT e.* FROM e JOIN q3 USING (theme, i)),
+z AS (SELECT *, 'most_negative' AS position FROM p1 UNION ALL SELECT *, 'median' FROM p2 UNION ALL SELECT *, 'most_positive' FROM p3)
+SELECT theme, position, std_id::VARCHAR AS std_id, a AS author, round(s, 9) AS score, i::INT AS place FROM z
+""".replace("abs(e.i - any_value(ceil(e.n / 2))::BIGINT)", "abs(e.i - ceil(e.n / 2)::BIGINT)").replace("abs(e.i - any_value(e.n))", "abs(e.i - e.n)"))
 def spread_aware_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above, from different sources where there are some."""
-    return themes.spread_quotes(_theme_rows(spark, sf_dir), "sentiment_score", "std_id", "source")
+    return themes.spread_quotes(_theme_rows(spark, sf_dir), "sentiment_score", "std_id", "source").withColumn("score", F.round("score", 9))
 
 
 # --- coverage, provenance -------------------------------------------------------------------
@@ -419,7 +433,13 @@ def codebook_budget_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.prompt_codes(book, most=12, top=10, recent=5)
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, greatest(1, ceil(least(length(coalesce(text, '')), 800) / 4))::INT AS tokens FROM documents),
+g AS (SELECT source, doc_id, k, tokens, 1 AS batch, tokens AS held, 1 AS n FROM r WHERE k = 1 UNION ALL
+      SELECT r.source, r.doc_id, r.k, r.tokens, CASE WHEN n >= 15 OR held + r.tokens > 20000 THEN batch + 1 ELSE batch END, CASE WHEN n >= 15 OR held + r.tokens > 20000 THEN r.tokens ELSE held + r.tokens END, CASE WHEN n >= 15 OR held + r.tokens > 20000 THEN 1 ELSE n + 1 END
+      FROM g JOIN r ON r.source IS NOT DISTINCT FROM g.source AND r.k = g.k + 1)
+SELECT source, doc_id AS std_id, tokens, batch FROM g
+""")
 def dynamic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source packed in order into batches for a model."""
     return coding.batches(_entries(spark, sf_dir), "std_id", "source")

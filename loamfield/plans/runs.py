@@ -82,13 +82,33 @@ def _brands(spark: SparkSession, sf_dir: str, cut: int) -> DataFrame:
     return table(spark, sf_dir, "part").where(F.col("p_size") % 7 != cut).select(name.alias("code_text")).distinct()
 
 
-@query()
+_GREEDY = """
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, j, i) AS k FROM p WHERE score >= {least}),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS l, []::BIGINT[] AS r, false AS ok UNION ALL
+      SELECT o.k, CASE WHEN list_contains(l, i) OR list_contains(r, j) THEN l ELSE list_append(l, i) END, CASE WHEN list_contains(l, i) OR list_contains(r, j) THEN r ELSE list_append(r, j) END, NOT (list_contains(l, i) OR list_contains(r, j)) FROM g JOIN o ON o.k = g.k + 1),
+m AS (SELECT o.* FROM o JOIN g USING (k) WHERE ok)
+"""
+_BOOK = "(SELECT t, row_number() OVER (ORDER BY t) - 1 AS {k} FROM (SELECT DISTINCT CASE WHEN p_size % 5 = {c} THEN p_brand || ' x' ELSE p_brand END AS t FROM part WHERE p_size % 7 <> {c}))"
+
+
+@query(f"""
+WITH RECURSIVE x AS {_BOOK.format(k='i', c=1)}, y AS {_BOOK.format(k='j', c=2)}, p AS (SELECT i, j, x.t AS a, y.t AS b, jaro_similarity(lower(x.t), lower(y.t)) AS score FROM x, y), {_GREEDY.format(least=0.75 * 0.8)}
+SELECT b AS code_prev, a AS code_curr, round(score, 3) AS similarity, CASE WHEN score >= 0.95 THEN 'stable' ELSE 'renamed' END AS status FROM m
+UNION ALL SELECT NULL, t, NULL, 'new' FROM x WHERE t NOT IN (SELECT a FROM m) UNION ALL SELECT t, NULL, NULL, 'dropped' FROM y WHERE t NOT IN (SELECT b FROM m)
+""")
 def code_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of two runs matched one to one: stable, renamed, new and dropped."""
     return comparison.code_changes(_brands(spark, sf_dir, 1), _brands(spark, sf_dir, 2))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE n AS (SELECT r_name, lower(n_name) AS c, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey), y AS (SELECT r_name AS b, list(c) AS cb, row_number() OVER (ORDER BY r_name) - 1 AS j FROM n GROUP BY r_name),
+x AS (SELECT lower(r_name) AS a, list(c) AS ca, row_number() OVER (ORDER BY lower(r_name)) - 1 AS i FROM n WHERE k % 5 <> 0 GROUP BY r_name),
+s AS (SELECT i, j, a, b, jaro_similarity(a, lower(b)) AS name_sim, len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) AS code_jaccard FROM x, y),
+p AS (SELECT *, greatest(code_jaccard, 0.3 * name_sim + 0.7 * code_jaccard) AS score FROM s), {_GREEDY.format(least=0.75)}
+SELECT a AS theme_prev, b AS theme_curr, round(name_sim, 3) AS name_sim, round(code_jaccard, 3) AS code_jaccard, 'persisted' AS status FROM m
+UNION ALL SELECT NULL, b, NULL, NULL, 'new' FROM y WHERE b NOT IN (SELECT b FROM m) UNION ALL SELECT a, NULL, NULL, NULL, 'disappeared' FROM x WHERE a NOT IN (SELECT a FROM m)
+""")
 def theme_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
