@@ -142,8 +142,9 @@ def matched(pairs: DataFrame, least: float) -> DataFrame:
             left.add(r["i"])
             right.add(r["j"])
             kept.append((r["i"], r["j"]))
-    chosen = pairs.sparkSession.createDataFrame(kept, "i int, j int")
-    return pairs.join(F.broadcast(chosen), ["i", "j"])  # a row a code
+    spark = pairs.sparkSession
+    found = pairs.join(F.broadcast(spark.createDataFrame(kept, "i int, j int")), ["i", "j"])  # a row a code
+    return spark.createDataFrame(found.collect(), found.schema)  # held, so that what follows scores no pair again
 
 
 def code_changes(current: DataFrame, previous: DataFrame, code: str = "code_text", threshold: float = THRESHOLD) -> DataFrame:
