@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import U64, byte_view, mix, pieces, word_hashes
-from .shared import lean
+from .shared import lean, released
 
 #: Bins of trigrams of character kinds, of repetitions, of words and of byte trigrams.
 KINDS, REPEATS, TERMS, GRAMS = 512, 32, 1024, 480
@@ -32,6 +32,8 @@ MOST_LABELLED = 8192
 SHARPNESS = 8
 #: Similarities are told apart in steps of this fraction: far above the rounding of sums, far below what matters.
 STEPS = 1 << 30
+#: Steps towards the latent axes.
+ITERATIONS = 40
 #: Texts whose similarities with all voters are held at a time.
 BLOCK = 128
 
@@ -127,18 +129,45 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
 
 
+def _leading(products: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` leading axes of a symmetric matrix by orthogonal iteration from a fixed start: a few columns beside the matrix, where a full decomposition holds several of its size."""
+    q = np.random.default_rng(0).standard_normal((len(products), 2 * DIMENSIONS)).astype(np.float32)
+    for _ in range(ITERATIONS):
+        q, _ = np.linalg.qr(products @ q)
+    values, turn = np.linalg.eigh(q.T @ (products @ q))
+    return q @ turn[:, np.argsort(values)[::-1][:k]]
+
+
+class _Packed:
+    """Rows of counts kept compressed; a slice of them is an array."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return np.stack([np.frombuffer(zlib.decompress(r), np.float32) for r in self.rows[part]])
+
+
 class Voters:
     """Labelled latent-semantic vectors."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        x = _damped(counts)
-        seen = np.count_nonzero(x, axis=0)
-        self.rarity = np.where(seen > 0, np.log((1 + len(x)) / (1 + seen)) + 1, 0).astype(np.float32)
-        x *= self.rarity
-        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place, as the driver holds all rows
-        values, axes = np.linalg.eigh(x.T @ x)
-        self.axes = axes[:, np.argsort(values)[::-1][: min(DIMENSIONS, len(x))]].astype(np.float64)
-        self.vectors, self.labels = np.concatenate([_unit(x[i : i + 512] @ self.axes) for i in range(0, len(x), 512)] or [np.zeros((0, self.axes.shape[1]))]), labels.astype(np.float64)
+    def __init__(self, counts: np.ndarray | _Packed, labels: np.ndarray):
+        # In blocks throughout: what is held of the rows is their products, not themselves.
+        n = len(counts)
+        blocks = [slice(i, i + 2 * BLOCK) for i in range(0, n, 2 * BLOCK)]
+        seen = sum((np.count_nonzero(counts[b], axis=0) for b in blocks), np.zeros(FEATURES, np.int64))
+        self.rarity = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1, 0).astype(np.float32)
+        products = np.zeros((FEATURES, FEATURES), np.float32)
+        for b in blocks:
+            x = _unit(_damped(counts[b]) * self.rarity)
+            products += x.T @ x
+        self.axes = _leading(products, min(DIMENSIONS, n)).astype(np.float64)
+        del products
+        vectors = [_unit(_unit(_damped(counts[b]).astype(np.float64) * self.rarity) @ self.axes) for b in blocks]
+        self.vectors, self.labels = np.concatenate([*vectors, np.zeros((0, self.axes.shape[1]))]), labels.astype(np.float64)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
     def similarities(self, counts: np.ndarray) -> np.ndarray:
@@ -182,10 +211,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labe
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_counted, "label int, x binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["label"]))
     chosen_labels = np.array([r["label"] for r in rows], np.float32)
-    counts = np.empty((len(rows), FEATURES), np.float32)
-    for i, r in enumerate(rows):
-        counts[i] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
-    return Voters(counts, chosen_labels)
+    packed = _Packed([bytes(r["x"]) for r in rows])
+    del rows
+    voters = Voters(packed, chosen_labels)
+    del packed
+    released()
+    return voters
 
 
 def scored(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -18,6 +18,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def released() -> None:
+    """Gives this process's free memory back."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def lean(function: Callable) -> Callable:
     """A batch function that gives its free memory back when its task ends.
 
@@ -30,13 +41,7 @@ def lean(function: Callable) -> Callable:
         try:
             yield from function(*args, **kwargs)
         finally:
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library, which has no such call
-                pass
+            released()
 
     return run
 
