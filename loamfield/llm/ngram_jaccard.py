@@ -30,35 +30,49 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U64, mix, pieces, shingle_sets
-from .shared import chosen, lean, written
+from .shared import chosen, lean, passing, tidy, written
 
-#: Counters of the sketch and the count from which a token is called frequent.
-SKETCH_BITS, FREQUENT = 22, 256
+#: Bits of the least and of the largest sketch, bytes of text for each counter, and the count from which a token is called frequent.
+SKETCH_BITS, MOST_BITS, BYTES_EACH, FREQUENT = 22, 25, 208, 256
 _SLICE = 1 << 16
+#: Tokens that a task counts at a time.
+_RUN = 1 << 23
+
+
+def sketch_bits(n_bytes: int) -> int:
+    """The bits of the sketch for so much text: about 32 tokens a counter, within bounds."""
+    return min(MOST_BITS, max(SKETCH_BITS, (-(-n_bytes // BYTES_EACH) - 1).bit_length()))
 
 
 @lean
-def _sketch(batches, n: int):
-    """Token counts of one task, as slices of saturating bytes."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+def _sketch(batches, n: int, bits: int):
+    """Token counts of one task, as packed slices of bytes, wider ones where a count needs it."""
     held: list[np.ndarray] = []
 
-    def count() -> None:
-        if held:
-            np.add(counts, np.bincount((np.concatenate(held) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)), out=counts, casting="unsafe")
-            held.clear()
-
+    def counted():
+        ids = np.concatenate(held)
+        ids.sort()
+        held.clear()
+        cuts = np.searchsorted(ids, np.arange(0, (1 << bits) + 1, _SLICE))
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = np.bincount(ids[cuts[k] : cuts[k + 1]] & np.uint32(_SLICE - 1), minlength=_SLICE)
+            wide = bool(part.max() > 255)
+            rows.append((k, wide, pa.compress(part.astype(np.uint32 if wide else np.uint8).tobytes(), codec="zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["slice", "wide", "counts"])
+
+    size = 0
     for batch in batches:
         for part in pieces(batch, "text"):
-            held.extend(shingle_sets(part.column("text"), n))
-            if sum(map(len, held)) > 1 << 20:  # a pass over the counters for a million tokens, not for each slice
-                count()
-    count()
-    if counts.any():
-        for at in range(0, len(counts), _SLICE):
-            part = counts[at : at + _SLICE]
-            wide = part.max() > 255
-            yield pa.record_batch({"slice": pa.array([at // _SLICE], pa.int32()), "wide": pa.array([bool(wide)]), "counts": pa.array([part.astype(np.uint32 if wide else np.uint8).tobytes()], pa.binary())})
+            for s in shingle_sets(part.column("text"), n):
+                if len(s):
+                    held.append((s >> U64(64 - bits)).astype(np.uint32))
+                    size += len(s)
+            if size > _RUN:
+                yield from counted()
+                size = 0
+    if held:
+        yield from counted()
 
 
 @lean
@@ -66,26 +80,31 @@ def _merged(batches):
     """Sums the slices of one id, in the order they come: one slice is held at a time."""
     held, total = None, None
     for batch in batches:
-        for k, wide, raw in zip(*(batch.column(c).to_pylist() for c in ("slice", "wide", "counts")), strict=True):
+        for k, wide, packed in zip(*(batch.column(c).to_pylist() for c in ("slice", "wide", "counts")), strict=True):
             if k != held:
                 if held is not None:
                     yield _classes(held, total)
                 held, total = k, np.zeros(_SLICE, np.uint64)
-            total += np.frombuffer(raw, np.uint32 if wide else np.uint8)
+            kind = np.dtype(np.uint32 if wide else np.uint8)
+            total += np.frombuffer(pa.decompress(packed, decompressed_size=_SLICE * kind.itemsize, codec="zstd", asbytes=True), kind)
     if held is not None:
         yield _classes(held, total)
 
 
 def _classes(k: int, total: np.ndarray) -> pa.RecordBatch:
-    classes = np.ceil(np.log2(np.maximum(total, 1).astype(np.float64)) * 2).astype(np.uint8)
+    """Classes of a slice's counts, less their median: what other tokens of a counter add to a token's count."""
+    own = np.maximum(total.astype(np.float64) - np.median(total), 1)
+    classes = np.ceil(np.log2(own) * 2).astype(np.uint8)
     return pa.record_batch({"slice": pa.array([k], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
 def token_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """Half-octave classes of the counts of tokens, by the top bits of the hash: 2**SKETCH_BITS bytes whatever the corpus."""
-    parts = docs.select("text").mapInArrow(functools.partial(_sketch, n=n), "slice int, wide boolean, counts binary")
-    sums = parts.repartition(32, "slice").sortWithinPartitions("slice").mapInArrow(_merged, "slice int, classes binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    """Half-octave classes of the counts of tokens, by the top bits of the hash: 4 to 32 MB, by the size of the corpus."""
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    with tidy(docs.sparkSession):
+        parts = docs.select("text").mapInArrow(functools.partial(_sketch, n=n, bits=bits), "slice int, wide boolean, counts binary")
+        sums = parts.repartition(32, "slice").sortWithinPartitions("slice").mapInArrow(_merged, "slice int, classes binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
     for r in sums:
         out[r["slice"] * _SLICE :][:_SLICE] = np.frombuffer(r["classes"], np.uint8)
     return out
@@ -114,7 +133,7 @@ def least_combined(n: int, percent: int) -> int:
 def _entries(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of one sorted set, and after how many of its tokens in order what is shared begins at the earliest."""
     n = len(s)
-    c = classes[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+    c = classes[(s >> U64(65 - len(classes).bit_length())).astype(np.int64)]
     often = c >= 2 * np.log2(FREQUENT)
     order = np.argsort((np.where(often, 255, c).astype(U64) << U64(56)) | (s >> U64(8)), kind="stable")
     rare = n - int(often.sum())
@@ -198,7 +217,8 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
     without a doc_id are returned, with a null component.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = docs.sparkSession.sparkContext.broadcast(token_classes(texts, n))
+    spark = docs.sparkSession
+    classes = spark.sparkContext.broadcast(token_classes(texts, n))
     index = written(
         texts.mapInArrow(functools.partial(_indexed, n=n, percent=percent, classes=classes), "doc_id long, n long, digest binary, keys array<long>, places array<int>"),
         "index",
@@ -211,41 +231,46 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
         "doc_id", "n", F.col("e.keys").alias("token"), F.col("e.places").alias("at")
     )
     hubs = entries.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("at", "n", "doc_id")).alias("hub")).where("df > 1")
-    # Written, as other sums by token below, so that their joins shuffle both sides and Spark can split a list that many are in.
-    hubs = written(hubs.select("token", "hub"), "hubs")
-    shared = written(entries.join(hubs, "token"), "lists")
 
     def may_reach(n1, at1, n2, at2):
         need = F.ceil((n1 + n2) * percent / F.lit(100.0 + percent) - 1e-9)
         return F.least(n1 - at1, n2 - at2) >= need
 
-    hub = F.col("hub")
-    pairs = (
-        shared.where((F.col("doc_id") != hub["doc_id"]) & may_reach(F.col("n"), F.col("at"), hub["n"], hub["at"]))
-        .select(F.greatest("doc_id", hub["doc_id"]).alias("a"), F.least("doc_id", hub["doc_id"]).alias("b"))
-        .distinct()
-    )
-    pairs = written(pairs, "pairs")
-    links = written(_verified(pairs, texts, n, percent), "verified")
-    known = written(components(links), "components")
-
-    # Pairs across components: of each list, what lies outside the component most of it is in, against all of it.
-    placed = shared.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("c"), F.col("hub.doc_id").alias("h"))
-    split = placed.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
-    split = written(split, "split")
-    open_ = written(placed.join(split, "token", "left_semi"), "open")
-    largest = open_.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top")).select("token", F.col("top.c").alias("top"))
-    largest = written(largest, "largest")
-    minor = open_.where("doc_id <> h").join(largest, "token").where("c <> top").select("token", *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "at", "c")))
-    rest = (
-        minor.join(open_.where("doc_id <> h"), "token")
-        .where((F.col("c") != F.col("c_")) & may_reach(F.col("n"), F.col("at"), F.col("n_"), F.col("at_")))
-        .select(F.greatest("doc_id", "doc_id_").alias("a"), F.least("doc_id", "doc_id_").alias("b"))
-        .distinct()
-    )
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, texts, n, percent)
-    final = components(written(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(members), "links"))
+    with passing(spark):
+        with passing(spark):
+            # Written, as other sums by token below, so that their joins shuffle both sides and Spark can split a list that many are in.
+            hubs = written(hubs.select("token", "hub"), "hubs")
+            shared = written(entries.join(hubs, "token"), "lists", lasting=True)
+        hub = F.col("hub")
+        pairs = (
+            shared.where((F.col("doc_id") != hub["doc_id"]) & may_reach(F.col("n"), F.col("at"), hub["n"], hub["at"]))
+            .select(F.greatest("doc_id", hub["doc_id"]).alias("a"), F.least("doc_id", hub["doc_id"]).alias("b"))
+            .distinct()
+        )
+        pairs = written(pairs, "pairs")
+        with passing(spark):
+            links = written(_verified(pairs, texts, n, percent), "verified")
+            known = written(components(links), "components", lasting=True)
+
+        # Pairs across components: of each list, what lies outside the component most of it is in, against all of it.
+        placed = shared.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("c"), F.col("hub.doc_id").alias("h"))
+        with passing(spark):
+            split = placed.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
+            split = written(split, "split")
+            open_ = written(placed.join(split, "token", "left_semi"), "open", lasting=True)
+        largest = open_.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top")).select("token", F.col("top.c").alias("top"))
+        largest = written(largest, "largest")
+        minor = open_.where("doc_id <> h").join(largest, "token").where("c <> top").select("token", *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "at", "c")))
+        rest = (
+            minor.join(open_.where("doc_id <> h"), "token")
+            .where((F.col("c") != F.col("c_")) & may_reach(F.col("n"), F.col("at"), F.col("n_"), F.col("at_")))
+            .select(F.greatest("doc_id", "doc_id_").alias("a"), F.least("doc_id", "doc_id_").alias("b"))
+            .distinct()
+        )
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(rest, texts, n, percent)
+        links = written(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(members), "links", lasting=True)
+        final = written(components(links), "components", lasting=True)
     return index.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -57,18 +57,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders written since the innermost :func:`passing` began.
-_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+#: Folders written since each :func:`passing` that is open began, the innermost last.
+_PASSING: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("passing", default=())
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """What runs inside deletes its shuffle files when it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it; ``lasting`` tables outlive :func:`passing`."""
+    """Write ``df`` once to the shared folder and return a reader of it; ``lasting`` tables outlive the innermost :func:`passing`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loamfield/{name}-{uuid.uuid4().hex}"
-    held = _PASSING.get()
-    if held is not None and not lasting:
-        held.append(path)
-    df.write.parquet(path)
+    open_ = _PASSING.get()
+    at = len(open_) - 1 - lasting
+    if at >= 0:
+        open_[at].append(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,9 +93,12 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def passing(spark: SparkSession):
-    """Tables written inside are deleted at the end: for steps whose result is stored by then, or written as ``lasting``."""
+    """Tables written inside are deleted at the end: for steps whose result is stored by then, or written as ``lasting``.
+
+    Inside another, ``lasting`` tables go at the end of the outer one.
+    """
     held: list[str] = []
-    token = _PASSING.set(held)
+    token = _PASSING.set((*_PASSING.get(), held))
     try:
         yield
     finally:
