@@ -281,7 +281,8 @@ def exported_by_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries in a folder for each theme, read back with line ends and quotes as they were."""
     folder = scratch(spark, "themes")
     exports.entries_by_theme(_entries(spark, sf_dir).select("std_id", "std_text"), _membership(spark, sf_dir), folder)
-    rows = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(folder)
+    # The escape of an escape is U+0000 unless set, and dropped from quoted texts.
+    rows = spark.read.schema("std_id string, std_text string, theme string").option("header", "true").option("escape", '"').option("charToEscapeQuoteEscaping", '"').option("multiLine", "true").csv(folder)
     return rows.select("theme", "std_id", text_digest(F.coalesce("std_text", F.lit(""))).alias("sha"))
 
 
