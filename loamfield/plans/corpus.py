@@ -159,7 +159,7 @@ def codebook_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SEGMENTS} SELECT s.std_id, code_key, strpos(text, t)::INT - 1 AS start_char, (strpos(text, t) - 1 + length(t))::INT AS end_char, t AS text FROM s JOIN documents ON doc_id = std_id".replace("s.std_id, code_key", "s.std_id, code_key"))
 def coded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir)
+    return coding.placed_segments(_segments(spark, sf_dir), _entries(spark, sf_dir))
 
 
 @query(f"WITH {_MEMBERS} SELECT * FROM m")
