@@ -190,11 +190,11 @@ def extreme_quotes(rows: DataFrame, score: str, order: str, least_chars: int = 5
     """(theme, position, ...) of the most negative, median and most positive entry of each theme.
 
     Texts of ``least_chars`` characters or fewer don't count.  Equal scores are told apart by
-    ``order``, which tells the entries of a theme apart; null scores come last.  No theme is
-    sorted: the ends are aggregates, the middle is found by sums over scores.
+    ``order``; null scores come last.  Of entries alike in both any one stands for them.  No
+    theme is sorted: the ends are aggregates, the middle is found by sums over scores.
     """
-    named = rows.where(F.char_length("std_text") > least_chars)
-    keys = named.select("theme", F.col(order).alias("_o"), F.coalesce(F.col(score).cast("double"), F.lit(float("inf"))).alias("_s"))
+    named = rows.where(F.char_length("std_text") > least_chars).withColumn("_s", F.coalesce(F.col(score).cast("double"), F.lit(float("inf"))))
+    keys = named.select("theme", F.col(order).alias("_o"), "_s")
     ends = keys.groupBy("theme").agg(F.count("*").alias("_n"), F.min(F.struct("_s", "_o")).alias("_low"), F.max(F.struct("_s", "_o")).alias("_high"))
     # The score that holds the middle place, and of the entries with that score the one at the place left over.
     bars = with_before(keys.groupBy("theme", "_s").agg(F.count("*").alias("_k")), "_s", "_k", "_before", ["theme"]).join(ends.select("theme", F.ceil(F.col("_n") / 2).alias("_mid"), "_n"), "theme")
@@ -202,10 +202,11 @@ def extreme_quotes(rows: DataFrame, score: str, order: str, least_chars: int = 5
     ties = keys.join(bar, ["theme", "_s"]).withColumn("_one", F.lit(1))
     numeric = isinstance(rows.schema[order].dataType, T.NumericType)
     at = with_before(ties, "_o", "_one", "_i", ["theme"]) if numeric else ties.withColumn("_i", F.row_number().over(W.partitionBy("theme").orderBy("_o")) - 1)
-    middle = at.where("_i + 1 = _place").select("theme", "_o", F.lit("median").alias("position"))
-    outer = ends.select("theme", F.explode(F.array(F.struct(F.col("_low._o").alias("_o"), F.lit("most_negative").alias("position"), F.lit(1).alias("_least")), F.struct(F.col("_high._o").alias("_o"), F.lit("most_positive").alias("position"), F.lit(2).alias("_least")))).alias("e"), "_n")
-    chosen = outer.where("_n >= e._least").select("theme", "e._o", "e.position").unionByName(middle).withColumnRenamed("theme", "_theme")
-    return named.join(chosen, (F.col("theme") == F.col("_theme")) & (F.col(order) == F.col("_o"))).drop("_theme", "_o")
+    middle = at.where("_i + 1 = _place").select("theme", "_o", "_s", F.lit("median").alias("position"))
+    outer = ends.select("theme", F.explode(F.array(*(F.struct(F.col(f"{c}._o").alias("_o"), F.col(f"{c}._s").alias("_s"), F.lit(p).alias("position"), F.lit(n).alias("_least")) for c, p, n in (("_low", "most_negative", 1), ("_high", "most_positive", 2))))).alias("e"), "_n")
+    chosen = outer.where("_n >= e._least").select("theme", "e._o", "e._s", "e.position").unionByName(middle).withColumnsRenamed({"theme": "_theme", "_s": "_score"})
+    found = named.join(chosen, (F.col("theme") == F.col("_theme")) & (F.col(order) == F.col("_o")) & (F.col("_s") == F.col("_score")))
+    return found.dropDuplicates(["theme", "position"]).drop("_theme", "_o", "_s", "_score")
 
 
 def spread_quotes(rows: DataFrame, score: str, order: str, author: str, least_chars: int = 50) -> DataFrame:
